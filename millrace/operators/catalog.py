@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.skew import salted_join
+
 ASSET_FIELDS = (
     "asset_type", "location", "description", "columns", "tags",
     "upstream", "downstream", "created_by", "metadata",
@@ -58,27 +60,40 @@ def current_assets(log: DataFrame) -> DataFrame:
     """The newest registration of each name that is not unregistered.
 
     A registration replaces the asset as a whole. `created_at` is the first registration after the
-    name was last removed. Removals are folded first, on their own: they are the rarer rows, and
-    what is joined back is one row per removed name.
+    name was last removed. The log itself is only aggregated, never shuffled row by row, apart from
+    the registrations of names that were once removed: those are compared with the last removal.
     """
     order = F.struct("logged_at", "seq")
+    registers = F.col("op") == "register"
+    state = (
+        log.groupBy("name")
+        .agg(
+            F.max_by(F.struct("op", *ASSET_FIELDS), order).alias("last"),
+            F.min(F.when(registers, F.col("logged_at"))).alias("first_seen"),
+            F.max("logged_at").alias("updated_at"),
+        )
+        .filter(F.col("last.op") == "register")
+    )
     removed = log.filter(F.col("op") == "unregister").groupBy("name").agg(F.max(order).alias("cut"))
-    live = (
-        log.filter(F.col("op") == "register")
-        .join(removed, "name", "left")
-        .filter(F.col("cut").isNull() | (order > F.col("cut")))
+    reborn = (
+        salted_join(
+            log.filter(registers).select("name", "logged_at", "seq"), removed, ["name"], ["logged_at", "seq"]
+        )
+        .filter(order > F.col("cut"))
+        .groupBy("name")
+        .agg(F.min("logged_at").alias("reborn_at"))
     )
-    newest = live.groupBy("name").agg(
-        F.max_by(F.struct(*ASSET_FIELDS), order).alias("asset"),
-        F.min("logged_at").alias("created_at"),
-        F.max("logged_at").alias("updated_at"),
+    return state.join(reborn, "name", "left").select(
+        "name",
+        *[F.col(f"last.{field}") for field in ASSET_FIELDS],
+        F.coalesce("reborn_at", "first_seen").alias("created_at"),
+        "updated_at",
     )
-    return newest.select("name", "asset.*", "created_at", "updated_at")
 
 
 def unregister(assets: DataFrame, names: DataFrame) -> DataFrame:
     """The catalogue without the named assets."""
-    return assets.join(names.select("name"), "name", "left_anti")
+    return assets.join(names.select("name").distinct(), "name", "left_anti")
 
 
 def unregister_report(assets: DataFrame, names: DataFrame) -> DataFrame:
@@ -122,7 +137,7 @@ def asset_lineage(assets: DataFrame, names: DataFrame | None = None, direction:
     if direction not in DIRECTIONS:
         raise ValueError(f"Invalid direction: {direction}. Must be upstream, downstream, or both")
     if names is not None:
-        assets = assets.join(names.select("name"), "name", "left_semi")
+        assets = assets.join(names.select("name").distinct(), "name", "left_semi")
     sides = [d for d in ("upstream", "downstream") if direction in (d, "both")]
     ends = [_neighbours(side) for side in sides]
     edges = ends[0] if len(ends) == 1 else F.concat(*ends)

@@ -26,7 +26,8 @@ def nulls(frame: DataFrame, column: str) -> DataFrame:
 def orphans(child: DataFrame, column: str, parent: DataFrame, field: str) -> DataFrame:
     """Child values (null apart) that no parent row has, with the number `n` of child rows."""
     values = child.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    return values.join(parent.select(F.col(field).alias(column)), column, "left_anti")
+    known = parent.select(F.col(field).alias(column)).distinct()
+    return values.join(known, column, "left_anti")
 
 
 def null_counts(frame: DataFrame, columns: Sequence[str]) -> DataFrame:

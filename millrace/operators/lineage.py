@@ -75,7 +75,7 @@ def lineage(
     """Producers and consumers of all wanted locations (of every location when none are given)."""
     found = edges(steps, direction)
     if locations is not None:
-        found = found.join(locations.select("location"), "location", "left_semi")
+        found = found.join(locations.select("location").distinct(), "location", "left_semi")
     return _with_job(found, jobs, environment).select(
         "location", "role", "job_id", "step_id", "step_name", "handler_type", "environment",
         "logic_version", "started_at", "completed_at",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = """nodes map<string,struct<resource_type:string,relation_name:string,
@@ -29,49 +29,79 @@ def manifest_lineage(manifests: DataFrame, run_results: DataFrame) -> DataFrame:
 
     The nodes that ran are those with status `success`, or all models when there are none.
     Only models and seeds are outputs, one per relation; inputs are the relations of what they
-    depend on, one per node. Past the parsing, every step is keyed by project and node, so one
-    project with a huge manifest is spread like many small ones.
+    depend on, one per node. Each manifest is parsed once; from there on every row is keyed by
+    project and node, so one project with a huge manifest is spread like many small ones.
     """
-    parsed = manifests.select("project", F.from_json("document", MANIFEST)["nodes"].alias("nodes"))
-    succeeded = run_results.select(
-        "project",
-        F.transform(
-            F.filter(
-                F.from_json("document", RUN_RESULTS)["results"], lambda r: r["status"] == "success"
-            ),
-            lambda r: r["unique_id"],
-        ).alias("succeeded"),
-    )
-    models = F.map_keys(F.map_filter("nodes", lambda _, n: n["resource_type"] == "model"))
-    ran = (
-        parsed.select("project", models.alias("models"))
-        .join(succeeded, "project", "left")
-        .select(
-            "project",
-            F.explode(
-                F.when(F.size("succeeded") > 0, F.col("succeeded")).otherwise(F.col("models"))
-            ).alias("node"),
-        )
-    )
-    nodes = parsed.select("project", F.explode("nodes").alias("node", "n")).select(
+    succeeded = _succeeded(run_results)
+    some = succeeded.select("project").distinct().withColumn("some", F.lit(True))
+    parsed = manifests.select(
+        "project", F.explode(F.array(F.from_json("document", MANIFEST))).alias("m")
+    ).join(some, "project", "left")
+    nodes = parsed.select(
+        "project", "some", F.explode_outer("m.nodes").alias("node", "n")
+    ).select(
         "project",
         "node",
         F.col("n.resource_type").alias("kind"),
         F.translate(F.nullif("n.relation_name", F.lit("")), '"', "").alias("location"),
         F.col("n.depends_on.nodes").alias("needs"),
+        F.coalesce("some", F.lit(False)).alias("some"),
     )
-    built = nodes.filter(F.col("kind").isin("model", "seed")).join(ran, ["project", "node"], "left_semi")
-    outputs = (
-        built.filter(F.col("location").isNotNull())
-        .groupBy("project", "location")
-        .agg(F.min("node").alias("node"))
-        .select("project", F.lit("output").alias("role"), "location", "node")
+    ran = F.when(F.col("some"), F.col("ran").isNotNull()).otherwise(F.col("kind") == "model")
+    flagged = nodes.join(succeeded.withColumn("ran", F.lit(True)), ["project", "node"], "left").withColumn(
+        "built", ran & F.col("kind").isin("model", "seed")
     )
-    needed = built.select("project", F.explode("needs").alias("node")).distinct()
-    inputs = (
-        nodes.filter(F.col("location").isNotNull())
-        .select("project", "node", "location")
-        .join(needed, ["project", "node"])
-        .select("project", F.lit("input").alias("role"), "location", "node")
+    facts = flagged.select("project", F.inline(_facts()))
+    return (
+        facts.groupBy("project", "role", "key")
+        .agg(
+            F.max("location").alias("location"),
+            F.min("node").alias("node"),
+            F.max("counts").alias("counts"),
+        )
+        .filter(F.col("counts") & F.col("location").isNotNull())
+        .select("project", "role", "location", "node")
+    )
+
+
+def _succeeded(run_results: DataFrame) -> DataFrame:
+    """Rows `(project, node)` of the nodes that ran well."""
+    parsed = F.from_json("document", RUN_RESULTS)["results"]
+    return (
+        run_results.select("project", F.explode_outer(parsed).alias("r"))
+        .filter(F.col("r.status") == "success")
+        .select("project", F.col("r.unique_id").alias("node"))
+        .distinct()
+    )
+
+
+def _facts() -> Column:
+    """What one node says: where it is, what it wrote if it was built, and what it then needed.
+
+    Facts with one role and key add up to a result row if any of them counts.
+    """
+
+    def fact(role: str, key: Column, location: Column, node: Column, counts: Column) -> Column:
+        return F.struct(
+            F.lit(role).alias("role"),
+            key.alias("key"),
+            location.alias("location"),
+            node.alias("node"),
+            counts.alias("counts"),
+        )
+
+    node, location, built = F.col("node"), F.col("location"), F.col("built")
+    nowhere = F.lit(None).cast("string")
+    needs = F.when(built, F.col("needs")).otherwise(F.lit(None))
+    return F.concat(
+        F.array(
+            fact("input", node, location, node, F.lit(False)),
+            fact("output", F.coalesce(location, node), location, node, built),
+        ),
+        F.coalesce(
+            F.transform(needs, lambda other: fact("input", other, nowhere, other, F.lit(True))),
+            F.array().cast(
+                "array<struct<role:string,key:string,location:string,node:string,counts:boolean>>"
+            ),
+        ),
     )
-    return outputs.unionByName(inputs)

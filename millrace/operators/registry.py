@@ -12,10 +12,12 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace import schemas
 from millrace.functions.folding import fold
 from millrace.functions.ids import stable_id
+from millrace.functions.skew import salted_join
 
 JOB_FIELDS = (
     "pipeline", "environment", "namespace", "status", "logic_version", "request", "parameters",
@@ -33,8 +35,6 @@ def _column(frame: DataFrame, name: str, default: Column) -> Column:
 
 def _conform(frame: DataFrame, ddl: str, *extra: str) -> DataFrame:
     """The frame under a record layout, absent fields null."""
-    from pyspark.sql.types import StructType
-
     fields = StructType.fromDDL(ddl)
     return frame.select(
         *[
@@ -88,7 +88,7 @@ def add_steps(requests: DataFrame, identity: Sequence[str]) -> DataFrame:
 
 def orphan_steps(steps: DataFrame, jobs: DataFrame) -> DataFrame:
     """Steps whose job does not exist."""
-    return steps.join(jobs.select("job_id"), "job_id", "left_anti")
+    return steps.join(jobs.select("job_id").distinct(), "job_id", "left_anti")
 
 
 def job_updates(patches: DataFrame) -> DataFrame:
@@ -131,8 +131,10 @@ def _current(log: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
 
 def unknown_patches(log: DataFrame, key: str) -> DataFrame:
     """Updates of records that were never created."""
-    created = log.filter(F.col("op") == "create").select(key)
-    return log.filter(F.col("op") == "update").join(created, key, "left_anti")
+    updates = log.filter(F.col("op") == "update")
+    created = log.filter(F.col("op") == "create").select(key).distinct()
+    unknown = updates.select(key).distinct().join(created, key, "left_anti")
+    return salted_join(updates, unknown, [key], ["patched_at", "seq"], "left_semi")
 
 
 def get_by_id(records: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from millrace.functions.types import spark_type
-from millrace.operators.checks import not_unique
+from millrace.operators.checks import not_unique, null_counts
 
 DEFAULT_DATABASE = "main"
 BUCKET = "key_bucket"
@@ -145,20 +145,21 @@ def table_info(spark: SparkSession, name: str) -> TableInfo | None:
 
 
 def insert(spark: SparkSession, name: str, rows: Rows) -> int:
-    """Append rows, all or none. A repeated or existing key or a missing required value is an error."""
+    """Append rows, all or none. A repeated or existing key or a missing required value is an error.
+
+    The checks read only the columns they need and nothing is cached; a DataFrame that is costly to
+    compute, or that changes between two reads, is better stored first.
+    """
     table = qualified(name)
     spec = _spec(spark, table)
-    batch = _aligned(spark, rows, read_table(spark, table).schema)
+    schema = read_table(spark, table).schema
+    batch = _aligned(spark, rows, schema)
     if batch is None:
         return 0
-    batch = _with_missing_columns(batch, read_table(spark, table).schema).persist()
-    try:
-        count, _ = _check_required(batch, spec.required)
-        if spec.keys:
-            _check_new_keys(spark, table, batch, spec)
-        _with_bucket(batch, spec).write.insertInto(table)
-    finally:
-        batch.unpersist()
+    count = _check_required(batch, spec.required)
+    if spec.keys:
+        _check_new_keys(spark, table, batch, spec)
+    _with_bucket(_with_missing_columns(batch, schema), spec).write.insertInto(table)
     return count
 
 
@@ -181,26 +182,78 @@ def upsert(
     batch = _aligned(spark, rows, read_table(spark, table).schema, sequence)
     if batch is None:
         return 0
-    count, _ = _check_required(batch, [c for c in spec.required if c in batch.columns or c in keys])
-    last = latest_rows(batch, keys).persist()
+    staged = _stage(spark, table, batch, keys, spec)
     try:
-        _, size = _check_required(last, keys)
         if spec.buckets:
-            _merge_buckets(spark, table, last, spec, size)
+            _merge_buckets(spark, table, staged, spec)
         else:
-            _merge_whole(spark, table, last, keys, spec, size)
+            _merge_whole(spark, table, staged, keys, spec)
     finally:
-        last.unpersist()
-    return count
+        _delete(spark, staged.folder)
+    return staged.given
+
+
+@dataclass(frozen=True)
+class _Staged:
+    """One row per key, written out once, with what was counted while writing."""
+
+    folder: str
+    rows: DataFrame
+    given: int
+    size: int
+
+    @property
+    def small(self) -> bool:
+        return self.size <= BROADCAST_BYTES
+
+
+def _stage(
+    spark: SparkSession, table: str, batch: DataFrame, keys: Sequence[str], spec: _Spec
+) -> _Staged:
+    """Write the last row per key next to the table: the merge reads it more than once, and a lost
+    executor takes none of it away. The same job checks nulls and measures the size."""
+    missing = [c for c in keys if c not in batch.columns]
+    if missing:
+        raise ConstraintError(f"key columns missing: {', '.join(missing)}")
+    checked = [c for c in spec.required if c in batch.columns and c not in keys]
+    had_null = [F.max(F.col(c).isNull()).alias(f"_null_{c}") for c in checked]
+    last = latest_rows(batch, keys, extra=[F.count("*").alias("_given"), *had_null])
+    plain = [c for c in batch.columns if c != "_seq"]
+    nulls = [F.count_if(F.col(c).isNull()).alias(c) for c in keys]
+    nulls += [F.count_if(f"_null_{c}").alias(c) for c in checked]
+    seen = Observation()
+    folder = _new_folder(spark, table)
+    (
+        last.withColumn("_bytes", _byte_size(last.select(*plain)))
+        .observe(
+            seen,
+            F.coalesce(F.sum("_given"), F.lit(0)).alias("_given"),
+            F.coalesce(F.sum("_bytes"), F.lit(0)).alias("_size"),
+            *nulls,
+        )
+        .select(*plain)
+        .write.parquet(folder)
+    )
+    counts = dict(seen.get)
+    given, size = counts.pop("_given"), counts.pop("_size")
+    try:
+        _refuse_nulls(counts)
+    except ConstraintError:
+        _delete(spark, folder)
+        raise
+    schema = last.select(*plain).schema
+    return _Staged(folder, spark.read.schema(schema).parquet(folder), given, size)
 
 
-def latest_rows(batch: DataFrame, keys: Sequence[str], sequence: str = "_seq") -> DataFrame:
+def latest_rows(
+    batch: DataFrame, keys: Sequence[str], sequence: str = "_seq", extra: Sequence[Column] = ()
+) -> DataFrame:
     """The last row per key. A grouped maximum, so a key that fills the batch still combines early."""
     values = [c for c in batch.columns if c not in (*keys, sequence)]
-    if not values:
-        return batch.select(*keys).distinct()
     newest = F.max(F.struct(sequence, *values)).alias("_row")
-    return batch.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_row.{c}") for c in values])
+    grouped = batch.groupBy(*keys).agg(newest, *extra)
+    rest = [c for c in grouped.columns if c not in (*keys, "_row")]
+    return grouped.select(*keys, *[F.col(f"_row.{c}") for c in values], *rest)
 
 
 def merge(
@@ -243,7 +296,7 @@ def store(spark: SparkSession, name: str, frame: DataFrame) -> DataFrame:
     """
     table = qualified(name)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.split('.', 1)[0]}")
-    folder = f"{_versions_folder(spark, table)}/{uuid.uuid4().hex[:12]}"
+    folder = _new_folder(spark, table)
     frame.write.parquet(folder)
     layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
     kept = spark.catalog.tableExists(table)
@@ -344,21 +397,21 @@ def _byte_size(frame: DataFrame) -> Column:
     return size
 
 
-def _check_required(batch: DataFrame, required: Sequence[str]) -> tuple[int, int]:
-    """Row count and byte size of the batch, in one pass with the null counts."""
+def _check_required(batch: DataFrame, required: Sequence[str]) -> int:
+    """Row count of the batch, in one pass with its null counts."""
     absent = [c for c in required if c not in batch.columns]
     if absent:
         raise ConstraintError(f"NOT NULL columns missing: {', '.join(absent)}")
-    present = list(dict.fromkeys(required))
-    found = batch.withColumn("_bytes", _byte_size(batch)).agg(
-        F.count("*").alias("_rows"),
-        F.sum("_bytes").alias("_size"),
-        *[F.count_if(F.col(c).isNull()).alias(c) for c in present],
-    ).first()
-    broken = {c: found[c] for c in present if found[c]}
+    counts = null_counts(batch, required).first().asDict()
+    rows = counts.pop("row_count")
+    _refuse_nulls(counts)
+    return rows
+
+
+def _refuse_nulls(counts: Mapping[str, int]) -> None:
+    broken = {c: n for c, n in counts.items() if n}
     if broken:
         raise ConstraintError(f"NOT NULL violated, null rows per column: {broken}")
-    return found["_rows"], found["_size"] or 0
 
 
 def _check_new_keys(spark: SparkSession, table: str, batch: DataFrame, spec: _Spec) -> None:
@@ -383,11 +436,11 @@ def _touched(batch: DataFrame, spec: _Spec) -> list[int]:
     return sorted(r[0] for r in batch.select(_bucket(spec)).distinct().collect())
 
 
-def _merge_buckets(spark: SparkSession, table: str, batch: DataFrame, spec: _Spec, size: int) -> None:
+def _merge_buckets(spark: SparkSession, table: str, staged: _Staged, spec: _Spec) -> None:
     """Merge within the touched buckets, then point each of them at its new folder."""
-    touched = _touched(batch, spec)
+    touched = _touched(staged.rows, spec)
     target = spark.table(table).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
-    merged = merge(target, batch, spec.keys, size <= BROADCAST_BYTES)
+    merged = merge(target, staged.rows, spec.keys, staged.small)
     folder = _write_version(spark, table, _with_bucket(merged, spec), spec)
     known = {int(row[0].split("=")[1]) for row in spark.sql(f"SHOW PARTITIONS {table}").collect()}
     for bucket in touched:
@@ -400,9 +453,9 @@ def _merge_buckets(spark: SparkSession, table: str, batch: DataFrame, spec: _Spe
 
 
 def _merge_whole(
-    spark: SparkSession, table: str, batch: DataFrame, keys: Sequence[str], spec: _Spec, size: int
+    spark: SparkSession, table: str, staged: _Staged, keys: Sequence[str], spec: _Spec
 ) -> None:
-    merged = merge(spark.table(table), batch, keys, size <= BROADCAST_BYTES)
+    merged = merge(spark.table(table), staged.rows, keys, staged.small)
     folder = _write_version(spark, table, merged, spec)
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
     spark.catalog.refreshTable(table)
@@ -410,19 +463,25 @@ def _merge_whole(
 
 def _write_version(spark: SparkSession, table: str, merged: DataFrame, spec: _Spec) -> str:
     """Write to a new folder, counting nulls on the way; a broken rule leaves the table as it was."""
-    folder = f"{_versions_folder(spark, table)}/{uuid.uuid4().hex[:12]}"
+    folder = _new_folder(spark, table)
     seen = Observation()
     if spec.required:
         merged = merged.observe(seen, *[F.count_if(F.col(c).isNull()).alias(c) for c in spec.required])
     writer = merged.write.partitionBy(BUCKET) if spec.buckets else merged.write
     writer.parquet(folder)
-    broken = {c: n for c, n in seen.get.items() if n} if spec.required else {}
-    if broken:
-        _delete(spark, folder)
-        raise ConstraintError(f"NOT NULL violated, null rows per column: {broken}")
+    if spec.required:
+        try:
+            _refuse_nulls(seen.get)
+        except ConstraintError:
+            _delete(spark, folder)
+            raise
     return folder
 
 
+def _new_folder(spark: SparkSession, table: str) -> str:
+    return f"{_versions_folder(spark, table)}/{uuid.uuid4().hex[:12]}"
+
+
 def _location(spark: SparkSession, table: str) -> str:
     rows = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").collect()
     return rows[0].data_type
