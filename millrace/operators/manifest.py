@@ -13,10 +13,7 @@ RUN_RESULTS = "results array<struct<unique_id:string,status:string>>"
 def read_documents(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Rows `(project, document)` for `<root>/<project>/target/<name>` files."""
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", name)
-        .text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name)
         .select(
             F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/target/[^/]+$", 1).alias("project"),
             F.col("value").alias("document"),

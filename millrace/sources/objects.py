@@ -1,4 +1,8 @@
-"""Stored objects as rows: listing, bodies and metadata through the binaryFile source."""
+"""Stored objects as rows: listing, bodies and metadata through the binaryFile source.
+
+Spark's file sources pass over empty files and over names that begin with `_` or `.`, so such
+objects do not appear here. A body is one value of one row, at most 2 GiB.
+"""
 
 from __future__ import annotations
 
