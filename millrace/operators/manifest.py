@@ -93,7 +93,7 @@ def _facts() -> Column:
     return F.concat(
         F.array(
             fact("input", node, location, node, F.lit(False)),
-            fact("output", F.coalesce(location, node), location, node, built),
+            fact("output", F.coalesce(location, node), location, F.when(built, node), built),
         ),
         F.coalesce(
             F.transform(needs, lambda other: fact("input", other, nowhere, other, F.lit(True))),
