@@ -146,7 +146,8 @@ def asset_lineage(assets: DataFrame, names: DataFrame | None = None, direction:
 
 def _neighbours(side: str) -> Column:
     return F.transform(
-        side, lambda other: F.struct(F.lit(side).alias("direction"), other.alias("other"))
+        F.coalesce(side, F.array().cast("array<string>")),
+        lambda other: F.struct(F.lit(side).alias("direction"), other.alias("other")),
     )
 
 
@@ -158,6 +159,6 @@ def stats(assets: DataFrame) -> DataFrame:
     entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     entries = F.concat(
         F.array(entry("total", F.lit("")), entry("type", F.col("asset_type"))),
-        F.transform("tags", lambda tag: entry("tag", tag)),
+        F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda tag: entry("tag", tag)),
     )
     return assets.select(F.inline(entries)).groupBy("kind", "key").agg(F.count("*").alias("n"))

@@ -59,7 +59,8 @@ def edges(steps: DataFrame, direction: str = "both") -> DataFrame:
 
 def _references(role: str, column: str) -> Column:
     """A step's distinct locations in one role."""
-    places = F.array_distinct(F.transform(column, lambda ref: ref["location"]))
+    listed = F.transform(column, lambda ref: ref["location"])
+    places = F.array_distinct(F.coalesce(listed, F.array().cast("array<string>")))
     return F.transform(
         places, lambda place: F.struct(F.lit(role).alias("role"), place.alias("location"))
     )

@@ -10,12 +10,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace import schemas
-from millrace.functions.folding import fold
+from millrace.functions.folding import compact, fold
 from millrace.functions.ids import stable_id
 from millrace.functions.skew import salted_join
 
@@ -129,6 +129,27 @@ def _current(log: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     return state.filter("_created").drop("_created")
 
 
+def compact_jobs(log: DataFrame) -> DataFrame:
+    """The job patches that still matter; replaces a log that has grown long."""
+    return compact(log, "job_id", JOB_FIELDS, ["metadata"], always=F.col("op") == "create")
+
+
+def compact_steps(log: DataFrame) -> DataFrame:
+    """As `compact_jobs`, for steps."""
+    return compact(log, "step_id", STEP_FIELDS, ["metadata"], always=F.col("op") == "create")
+
+
+def append_log(patches: DataFrame, folder: str) -> None:
+    """Add log rows to a stored log, laid out by day so that a time range reads only its days."""
+    patches.withColumn("day", F.to_date("patched_at")).write.mode("append").partitionBy("day").parquet(folder)
+
+
+def read_log(spark: SparkSession, folder: str, ddl: str) -> DataFrame:
+    """A stored log under the layout of its records (JOB or STEP)."""
+    layout = f"{ddl}, op string, patched_at timestamp, seq bigint, day date"
+    return spark.read.schema(layout).parquet(folder).drop("day")
+
+
 def unknown_patches(log: DataFrame, key: str) -> DataFrame:
     """Updates of records that were never created."""
     updates = log.filter(F.col("op") == "update")
@@ -180,8 +201,8 @@ def job_steps(steps: DataFrame, job_id: str | None = None) -> DataFrame:
     return steps.select(
         "job_id", "step_id", "step_name", "handler_type", "action", "status",
         "started_at", "completed_at", "duration_ms",
-        F.size("inputs").alias("input_count"),
-        F.size("outputs").alias("output_count"),
+        F.coalesce(F.size("inputs"), F.lit(0)).alias("input_count"),
+        F.coalesce(F.size("outputs"), F.lit(0)).alias("output_count"),
     ).orderBy("job_id", F.asc_nulls_last("started_at"), "step_id")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -80,12 +82,14 @@ def consume_results(
     """Store every message of the stream with its outcome, then end when no more is there.
 
     Each micro-batch overwrites its own folder, so a replayed batch changes nothing, and one
-    write carries patches, skips and rejects as partitions of one table.
+    write carries patches, skips and rejects as partitions of one table. The folder is named after
+    the checkpoint as well: batch numbers start again with a new one.
     """
+    stream = "s" + hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def store(batch: DataFrame, batch_id: int) -> None:
         intake(batch, known_steps).write.mode("overwrite").partitionBy("outcome").parquet(
-            f"{folder}/batch_id={batch_id}"
+            f"{folder}/stream={stream}/batch_id={batch_id}"
         )
 
     return (
@@ -103,4 +107,4 @@ def stored_patches(stored: DataFrame) -> DataFrame:
 
 def batch_summary(stored: DataFrame) -> DataFrame:
     """How many messages each micro-batch processed, per outcome and result status."""
-    return stored.groupBy("batch_id", "outcome", "status").agg(F.count("*").alias("processed"))
+    return stored.groupBy("stream", "batch_id", "outcome", "status").agg(F.count("*").alias("processed"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import catalog, lineage, registry
+from millrace.schemas import JOB
+from millrace.session import scratch
 from millrace.suite import standins as s
 from millrace.suite.base import query, table
 
@@ -201,6 +203,15 @@ def r3_update_job(spark: SparkSession, folder: str) -> DataFrame:
     return _job_view(s.jobs(spark, folder))
 
 
+@query("r3_compacted_log", _state_sql())
+def r3_compacted_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Every second patch stored by day and compacted, then folded with the rest."""
+    log, place = s.job_log(spark, folder), scratch(spark, "job_log")
+    registry.append_log(log.filter("seq % 2 = 0"), place)
+    older = registry.compact_jobs(registry.read_log(spark, place, JOB))
+    return _job_view(registry.current_jobs(older.unionByName(log.filter("seq % 2 <> 0"))))
+
+
 @query(
     "r3_unknown_jobs",
     """select 'job-' || (user_id * 20) as job_id, count(*) as patches from events

@@ -138,7 +138,7 @@ def test_consumer_keeps_every_message_and_its_outcome(spark, queue):
         ("updated", None, "c1"),
     ]
     assert seen.filter("outcome = 'error'").first().body == "not json"
-    assert seen.select("batch_id").distinct().count() == 2
+    assert seen.select("stream", "batch_id").distinct().count() == 2
     summary = results.batch_summary(seen)
     assert rows(summary.groupBy("outcome").agg(F.sum("processed"))) == [("error", 1), ("skipped", 1), ("updated", 3)]
 
@@ -155,11 +155,25 @@ def test_consumer_keeps_every_message_and_its_outcome(spark, queue):
 
 
 def test_a_replayed_batch_changes_nothing(spark, queue):
+    """A batch whose completion was not recorded is run again and leaves the same rows."""
     folder = queue("a.txt", result(step_id="s1"), "not json")
-    stored = scratch(spark, "stored")
-    once = rows(consume(spark, folder, stored, scratch(spark, "checkpoint")).drop("timestamp"))
-    again = rows(consume(spark, folder, stored, scratch(spark, "checkpoint")).drop("timestamp"))
-    assert once == again
+    stored, checkpoint = scratch(spark, "stored"), scratch(spark, "checkpoint")
+    once = rows(consume(spark, folder, stored, checkpoint).drop("timestamp"))
+    for mark in Path(checkpoint, "commits").glob("*0*"):
+        mark.unlink()
+    again = rows(consume(spark, folder, stored, checkpoint).drop("timestamp"))
+    assert Path(checkpoint, "commits", "0").exists()
+    assert len(once) == 2 and once == again
+
+
+def test_a_new_checkpoint_overwrites_nothing(spark, queue):
+    """Reading a queue from the start again stores its messages again; the folded steps are the same."""
+    folder, stored = queue("a.txt", result(step_id="s1")), scratch(spark, "stored")
+    consume(spark, folder, stored, scratch(spark, "checkpoint"))
+    seen = consume(spark, folder, stored, scratch(spark, "checkpoint"))
+    assert seen.count() == 2
+    assert rows(results.stored_patches(seen).drop("inputs", "outputs", "executions").distinct())[0][0] == "s1"
+    assert results.stored_patches(seen).select("step_id", "patched_at", "seq").distinct().count() == 1
 
 
 def test_unknown_steps_are_errors(spark, queue):

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.functions.folding import fold
+from millrace.functions.folding import compact, fold
 from millrace.functions.skew import salted_join
 from millrace.operators import lineage, registry
 from millrace.operators.registry import JobQuery
@@ -59,6 +59,23 @@ def test_status_sets_times_and_metadata_merges(spark):
     assert rows(registry.unknown_patches(log, "job_id").select("job_id", "error")) == [("nobody", "lost")]
 
 
+def test_log_is_stored_by_day_and_compacted(spark):
+    from millrace.schemas import JOB
+    from millrace.session import scratch
+
+    place = scratch(spark, "log")
+    registry.append_log(created(spark, ("p", "dev", None, "j1")), place)
+    day = 86_400
+    updates = [("j1", day * i, i, "running" if i < 9 else "success", None) for i in range(1, 10)]
+    updates += [("j1", day * 5, 50, None, {"k": "v"}), ("j1", day * 4, 40, None, {"k": "old"})]
+    registry.append_log(registry.job_updates(patches(spark, "job_id", "status string, metadata map<string,string>", *updates)), place)
+    log = registry.read_log(spark, place, JOB)
+    kept = registry.compact_jobs(log)
+    assert sorted(r.seq for r in kept.collect()) == [0, 8, 9, 50]
+    assert rows(registry.current_jobs(kept)) == rows(registry.current_jobs(log))
+    assert log.count() == 12
+
+
 def test_given_times_are_kept(spark):
     given = patches(spark, "job_id", "status string, started_at timestamp, completed_at timestamp", ("j1", 10, 1, "running", None, None))
     given = given.withColumn("started_at", F.timestamp_seconds(F.lit(5)))
@@ -88,8 +105,13 @@ def test_fold_equals_updating_a_dictionary(spark, entries, shuffled):
     arrived = numbered + numbered[:3]
     shuffled.shuffle(arrived)
     log = spark.createDataFrame(arrived, "k string, patched_at int, seq int, status string, metadata map<string,string>")
-    folded = fold(log, "k", ["status"], ["metadata"])
-    assert {r.k: (r.status, r.metadata) for r in folded.collect()} == state
+    as_dict = lambda frame: {r.k: (r.status, r.metadata) for r in fold(frame, "k", ["status"], ["metadata"]).collect()}
+    assert as_dict(log) == state
+    always = F.col("seq") == 0
+    early, late = log.filter("seq % 3 <> 0"), log.filter("seq % 3 = 0")
+    kept = compact(early, "k", ["status"], ["metadata"], always=always)
+    assert as_dict(kept.unionByName(late)) == {k: v for k, v in state.items()}
+    assert kept.count() <= early.count()
 
 
 def test_query_jobs_filters_pages_and_orders(spark):
