@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from millrace import schemas
 
+Records = Sequence[Mapping[str, Any]] | Callable[[], Sequence[Mapping[str, Any]]]
+
 
 @dataclass(frozen=True)
 class Context:
@@ -36,20 +38,33 @@ def data_ref(
     }
 
 
+class RunFailed(Exception):
+    """A run that reports several errors."""
+
+    def __init__(self, errors: Sequence[str]) -> None:
+        super().__init__("; ".join(errors))
+        self.errors = list(errors)
+
+
 def tracked(
     spark: SparkSession,
     context: Context,
     work: Callable[[], Mapping[str, Any] | None],
-    inputs: Sequence[Mapping[str, Any]] = (),
-    outputs: Sequence[Mapping[str, Any]] = (),
-    executions: Sequence[Mapping[str, Any]] = (),
+    inputs: Records = (),
+    outputs: Records = (),
+    executions: Records = (),
 ) -> DataFrame:
-    """Run `work` and return its one-row result; a failed run keeps the error and no lineage."""
+    """Run `work` and return its one-row result; a failed run keeps the error and no lineage.
+
+    Lineage known only afterwards may be given as functions.
+    """
     started = time.perf_counter()
     try:
         data, errors, status = work() or {}, [], "success"
+        inputs, outputs, executions = (r() if callable(r) else r for r in (inputs, outputs, executions))
     except Exception as error:  # noqa: BLE001 - any failure becomes an error result
-        data, errors, status = None, [str(error)], "error"
+        data, status = None, "error"
+        errors = error.errors if isinstance(error, RunFailed) else [str(error)]
         inputs, outputs, executions = (), (), ()
     row = {
         "status": status,
@@ -78,9 +93,9 @@ def tracked_write(
     frame: DataFrame,
     context: Context,
     write: Callable[[DataFrame], None],
-    inputs: Sequence[Mapping[str, Any]] = (),
-    outputs: Sequence[Mapping[str, Any]] = (),
-    executions: Sequence[Mapping[str, Any]] = (),
+    inputs: Records = (),
+    outputs: Records = (),
+    executions: Records = (),
 ) -> DataFrame:
     """As `tracked`, for writing a DataFrame; the rows are counted by the write itself."""
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from millrace.functions.types import spark_type
-from millrace.operators.checks import not_unique, null_counts
+from millrace.operators.checks import null_counts
 
 DEFAULT_DATABASE = "main"
 BUCKET = "key_bucket"
@@ -156,11 +156,11 @@ def insert(spark: SparkSession, name: str, rows: Rows) -> int:
     batch = _aligned(spark, rows, schema)
     if batch is None:
         return 0
-    count = _check_required(batch, spec.required)
+    found = _check_batch(batch, spec)
     if spec.keys:
-        _check_new_keys(spark, table, batch, spec)
+        _check_new_keys(spark, table, batch, spec, found)
     _with_bucket(_with_missing_columns(batch, schema), spec).write.insertInto(table)
-    return count
+    return found.rows
 
 
 def upsert(
@@ -397,15 +397,37 @@ def _byte_size(frame: DataFrame) -> Column:
     return size
 
 
-def _check_required(batch: DataFrame, required: Sequence[str]) -> int:
-    """Row count of the batch, in one pass with its null counts."""
-    absent = [c for c in required if c not in batch.columns]
+@dataclass(frozen=True)
+class _Checked:
+    rows: int
+    touched: list[int]
+
+
+def _check_batch(batch: DataFrame, spec: _Spec) -> _Checked:
+    """Nulls, repeated keys, row count and touched buckets of a batch, in one job."""
+    absent = [c for c in spec.required if c not in batch.columns]
     if absent:
         raise ConstraintError(f"NOT NULL columns missing: {', '.join(absent)}")
-    counts = null_counts(batch, required).first().asDict()
-    rows = counts.pop("row_count")
-    _refuse_nulls(counts)
-    return rows
+    if not spec.keys:
+        counts = null_counts(batch, spec.required).first().asDict()
+        rows = counts.pop("row_count")
+        _refuse_nulls(counts)
+        return _Checked(rows, [])
+    others = [c for c in spec.required if c not in spec.keys]
+    per_key = batch.groupBy(*spec.keys).agg(
+        F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in others]
+    )
+    found = per_key.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("_rows"),
+        F.max(F.when(F.col("_n") > 1, F.struct(*spec.keys))).alias("_repeated"),
+        (F.collect_set(_bucket(spec)) if spec.buckets else F.array()).alias("_touched"),
+        *[F.sum(F.when(F.col(c).isNull(), F.col("_n"))).alias(c) for c in spec.keys],
+        *[F.sum(f"_null_{c}").alias(c) for c in others],
+    ).first()
+    _refuse_nulls({c: found[c] for c in spec.required})
+    if found["_repeated"]:
+        raise ConstraintError(f"duplicate key in the rows: {found['_repeated'].asDict()}")
+    return _Checked(found["_rows"], sorted(found["_touched"]))
 
 
 def _refuse_nulls(counts: Mapping[str, int]) -> None:
@@ -414,16 +436,14 @@ def _refuse_nulls(counts: Mapping[str, int]) -> None:
         raise ConstraintError(f"NOT NULL violated, null rows per column: {broken}")
 
 
-def _check_new_keys(spark: SparkSession, table: str, batch: DataFrame, spec: _Spec) -> None:
-    """No key twice in the batch and none that the table already has."""
-    repeated = not_unique(batch, *spec.keys).limit(1).collect()
-    if repeated:
-        raise ConstraintError(f"duplicate key in the rows: {repeated[0].asDict()}")
+def _check_new_keys(
+    spark: SparkSession, table: str, batch: DataFrame, spec: _Spec, found: _Checked
+) -> None:
+    """No key that the table already has; only the buckets the batch falls into are read."""
     target = spark.table(table)
     if spec.buckets:
-        target = target.filter(F.col(BUCKET).isin(_touched(batch, spec)))
-    existing = batch.select(*spec.keys).join(target.select(*spec.keys), spec.keys, "left_semi")
-    taken = existing.limit(1).collect()
+        target = target.filter(F.col(BUCKET).isin(found.touched))
+    taken = batch.select(*spec.keys).join(target.select(*spec.keys), spec.keys, "left_semi").limit(1).collect()
     if taken:
         raise ConstraintError(f"duplicate key in the table: {taken[0].asDict()}")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import checks, tables
-from millrace.operators.runs import data_ref
+from millrace.operators.runs import Context, RunFailed, data_ref, tracked
 from millrace.sources.seeds import load_seed
 
 Frames = Mapping[str, DataFrame]
@@ -94,6 +94,37 @@ class RunReport:
         return spark.createDataFrame(self.rows, REPORT)
 
 
+def transform_result(
+    spark: SparkSession, context: Context, command: Callable[[], RunReport], select: str | None = None
+) -> DataFrame:
+    """Run a project command and return its result row: versions and lineage of a command that went
+    well, or the errors of one that did not, which then has no execution record."""
+    reports: list[RunReport] = []
+
+    def work() -> dict[str, object]:
+        report = command()
+        if not report.success:
+            raise RunFailed(report.errors)
+        reports.append(report)
+        return {
+            "command": report.command,
+            "logic_version": report.logic_version,
+            "execution_id": report.execution_id,
+            "nodes": len(report.rows),
+        }
+
+    return tracked(
+        spark,
+        context,
+        work,
+        inputs=lambda: reports[0].inputs,
+        outputs=lambda: reports[0].outputs,
+        executions=lambda: [
+            {"execution_type": "models", "details": {"command": reports[0].command, "select": select or ""}}
+        ],
+    )
+
+
 class Project:
     """A set of models living in one database."""
 

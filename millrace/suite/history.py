@@ -206,9 +206,10 @@ def r3_update_job(spark: SparkSession, folder: str) -> DataFrame:
 @query("r3_compacted_log", _state_sql())
 def r3_compacted_log(spark: SparkSession, folder: str) -> DataFrame:
     """Every second patch stored by day and compacted, then folded with the rest."""
-    log, place = s.job_log(spark, folder), scratch(spark, "job_log")
-    registry.append_log(log.filter("seq % 2 = 0"), place)
-    older = registry.compact_jobs(registry.read_log(spark, place, JOB))
+    log, whole, compacted = s.job_log(spark, folder), scratch(spark, "job_log"), scratch(spark, "job_log")
+    registry.append_log(log.filter("seq % 2 = 0"), whole)
+    registry.append_log(registry.compact_jobs(registry.read_log(spark, whole, JOB)), compacted)
+    older = registry.read_log(spark, compacted, JOB)
     return _job_view(registry.current_jobs(older.unionByName(log.filter("seq % 2 <> 0"))))
 
 

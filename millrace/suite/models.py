@@ -6,8 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import checks, manifest
+from millrace.operators.runs import Context
 from millrace.plans import budget
-from millrace.plans.models import DataTest, Model, Project, version_stamp, versions
+from millrace.plans.models import (
+    DataTest,
+    Model,
+    Project,
+    transform_result,
+    version_stamp,
+    versions,
+)
 from millrace.session import scratch
 from millrace.sources.seeds import load_seed
 from millrace.suite import standins as s
@@ -214,24 +222,28 @@ def m11_manifest_lineage(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "m12_transform_result",
-    """select 'run' as command, 'v1' as logic_version, 'run-1' as execution_id, 'success' as status,
-        5 as nodes, 5 as outputs, 4 as inputs, (select count(*) from customer) as mart_rows""",
+    """select 'build' as command, 'v1' as logic_version, 'run-1' as execution_id, 'success' as status,
+        null as error, 5 as outputs, 4 as inputs, 1 as executions, (select count(*) from customer) as mart_rows
+       union all select null, null, null, 'error', 'build failed', 0, 0, 0, (select count(*) from customer)""",
 )
 def m12_transform_result(spark: SparkSession, folder: str) -> DataFrame:
-    """The summary a run leaves: versions, outcome, and its lineage from the declared references."""
+    """The results of a build that goes well and of one in which a test fails."""
     database = fresh_database(spark, "result")
-    project = budget.budget_project(spark, database, None, _raw(spark, folder), "v1", "run-1")
-    report = project.run(logic_version="v1", execution_id="run-1")
-    return spark.table(f"{database}.dept_budget_summary").agg(
-        F.lit(report.command).alias("command"),
-        F.lit(report.logic_version).alias("logic_version"),
-        F.lit(report.execution_id).alias("execution_id"),
-        F.lit("success" if report.success else "error").alias("status"),
-        F.lit(len(report.rows)).alias("nodes"),
-        F.lit(len(report.outputs)).alias("outputs"),
-        F.lit(len(report.inputs)).alias("inputs"),
-        F.count("*").alias("mart_rows"),
-    )
+    good = budget.budget_project(spark, database, None, _raw(spark, folder), "v1", "run-1")
+    bad = _with_failing_model(spark, folder, "failing")
+    context = Context("transform", "corr-1")
+    rows = transform_result(
+        spark, context, lambda: good.build(logic_version="v1", execution_id="run-1")
+    ).unionByName(transform_result(spark, context, bad.build))
+    built = spark.table(f"{database}.dept_budget_summary").agg(F.count("*").alias("mart_rows"))
+    text = lambda key: F.try_element_at("data", F.lit(key)).alias(key)
+    return rows.select(
+        text("command"), text("logic_version"), text("execution_id"), "status",
+        F.try_element_at("errors", F.lit(1)).alias("error"),
+        F.size("outputs").alias("outputs"), F.size("inputs").alias("inputs"),
+        F.size("executions").alias("executions"),
+        F.lit(built.first()[0]).cast("bigint").alias("mart_rows"),
+    )
 
 
 @query(

@@ -8,8 +8,9 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from millrace.operators import checks
+from millrace.operators.runs import Context
 from millrace.plans import budget
-from millrace.plans.models import DataTest, Model, Project, version_stamp, versions
+from millrace.plans.models import DataTest, Model, Project, transform_result, version_stamp, versions
 
 DEPARTMENTS = """department_id,department_name,budget_amount,fiscal_year
 1,Public Works,5000000,2024
@@ -189,3 +190,20 @@ def test_stamp_defaults(spark):
     assert rows(stamped.select("_logic_version", "_execution_id", F.col("_processed_at").isNotNull())) == [
         ("unknown", "unknown", True)
     ]
+
+
+def test_transform_result(spark, database, seeds):
+    context = Context("transform", "corr", "job", "step")
+    project = budget.budget_project(spark, database, str(seeds), None, "v1", "run-1")
+    good = transform_result(spark, context, lambda: project.build("+stg_departments"), "+stg_departments").first()
+    assert (good.status, good.step_id, good.data["command"], good.data["nodes"]) == ("success", "step", "build", "4")
+    assert [o.location for o in good.outputs] == [f"{database}.raw_departments", f"{database}.stg_departments"]
+    assert good.executions[0].details == {"command": "build", "select": "+stg_departments"}
+
+    def broken():
+        raise RuntimeError("bad model")
+
+    failing = Project(spark, database, [Model(f"m{i}", broken) for i in range(12)])
+    bad = transform_result(spark, context, failing.run).first()
+    assert (bad.status, bad.data, bad.executions, bad.outputs) == ("error", None, [], [])
+    assert bad.errors[0] == "run failed" and len(bad.errors) == 11 and bad.errors[-1] == "m11: bad model"
