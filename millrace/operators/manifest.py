@@ -12,10 +12,11 @@ RUN_RESULTS = "results array<struct<unique_id:string,status:string>>"
 
 def read_documents(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Rows `(project, document)` for `<root>/<project>/target/<name>` files."""
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return (
         spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name)
         .select(
-            F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/target/[^/]+$", 1).alias("project"),
+            F.regexp_extract(file, "([^/]+)/target/[^/]+$", 1).alias("project"),
             F.col("value").alias("document"),
         )
     )

@@ -24,6 +24,7 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, Struct
 
 from millrace.functions.types import spark_type
 from millrace.operators.checks import null_counts
+from millrace.sources import storage
 
 DEFAULT_DATABASE = "main"
 BUCKET = "key_bucket"
@@ -80,14 +81,14 @@ def create_table(
     if buckets and not keys:
         raise ValueError("buckets need a primary key")
     parts = [f"`{c.name}` {spark_type(c.dtype)}" for c in columns]
-    layout = ""
+    partitions = ""
     if buckets:
         parts.append(f"{BUCKET} int")
-        layout = f"PARTITIONED BY ({BUCKET})"
+        partitions = f"PARTITIONED BY ({BUCKET})"
     spec = json.dumps({"keys": keys, "required": required, "buckets": buckets}).replace("'", "\\'")
     spark.sql(
         f"CREATE TABLE {'IF NOT EXISTS ' if if_not_exists else ''}{table} ({', '.join(parts)}) "
-        f"USING parquet {layout} TBLPROPERTIES ('{SPEC}' = '{spec}')"
+        f"USING parquet {partitions} TBLPROPERTIES ('{SPEC}' = '{spec}')"
     )
 
 
@@ -109,7 +110,7 @@ def drop_table(spark: SparkSession, name: str, if_exists: bool = True) -> None:
     versions = _versions_folder(spark, table) if exists else None
     spark.sql(f"DROP TABLE {'IF EXISTS ' if if_exists else ''}{table}")
     if versions:
-        _delete(spark, versions)
+        storage.delete(spark, versions)
 
 
 def truncate(spark: SparkSession, name: str) -> None:
@@ -189,7 +190,7 @@ def upsert(
         else:
             _merge_whole(spark, table, staged, keys, spec)
     finally:
-        _delete(spark, staged.folder)
+        storage.delete(spark, staged.folder)
     return staged.given
 
 
@@ -239,7 +240,7 @@ def _stage(
     try:
         _refuse_nulls(counts)
     except ConstraintError:
-        _delete(spark, folder)
+        storage.delete(spark, folder)
         raise
     schema = last.select(*plain).schema
     return _Staged(folder, spark.read.schema(schema).parquet(folder), given, size)
@@ -298,18 +299,19 @@ def store(spark: SparkSession, name: str, frame: DataFrame) -> DataFrame:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.split('.', 1)[0]}")
     folder = _new_folder(spark, table)
     frame.write.parquet(folder)
-    layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+    columns = ", ".join(f"`{name}` {kind}" for name, kind in layout(frame))
     kept = spark.catalog.tableExists(table)
-    if kept and _layout(spark.table(table)) == _layout(frame):
+    if kept and layout(spark.table(table)) == layout(frame):
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
     else:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-        spark.sql(f"CREATE TABLE {table} ({layout}) USING parquet LOCATION '{folder}'")
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet LOCATION '{folder}'")
     spark.catalog.refreshTable(table)
     return spark.table(table)
 
 
-def _layout(frame: DataFrame) -> list[tuple[str, str]]:
+def layout(frame: DataFrame) -> list[tuple[str, str]]:
+    """Column names and types, nullability apart."""
     return [(f.name, f.dataType.simpleString()) for f in frame.schema]
 
 
@@ -318,9 +320,9 @@ def prune_versions(spark: SparkSession, name: str) -> list[str]:
     table = qualified(name)
     used = {_location(spark, table)} | set(_partition_locations(spark, table).values())
     gone = []
-    for folder in _children(spark, _versions_folder(spark, table)):
+    for folder in storage.children(spark, _versions_folder(spark, table)):
         if not any(u.startswith(folder) for u in used):
-            _delete(spark, folder)
+            storage.delete(spark, folder)
             gone.append(folder)
     return gone
 
@@ -493,7 +495,7 @@ def _write_version(spark: SparkSession, table: str, merged: DataFrame, spec: _Sp
         try:
             _refuse_nulls(seen.get)
         except ConstraintError:
-            _delete(spark, folder)
+            storage.delete(spark, folder)
             raise
     return folder
 
@@ -522,19 +524,3 @@ def _partition_locations(spark: SparkSession, table: str) -> dict[int, str]:
         detail = spark.sql(f"DESCRIBE FORMATTED {table} PARTITION ({BUCKET} = {bucket})")
         found[bucket] = detail.filter("col_name = 'Location'").first().data_type
     return found
-
-
-def _path(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
-def _children(spark: SparkSession, folder: str) -> list[str]:
-    path, fs = _path(spark, folder)
-    return [s.getPath().toString() for s in fs.listStatus(path)] if fs.exists(path) else []
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path, fs = _path(spark, folder)
-    if fs.exists(path):
-        fs.delete(path, True)

@@ -67,8 +67,15 @@ def publish(messages: DataFrame, kind: str, folder: str) -> None:
     ).text(folder)
 
 
-def publish_stream(messages: DataFrame, kind: str, folder: str, checkpoint: str) -> StreamingQuery:
-    """The same as a stream: takes all that is there and ends."""
+def pace(every: str | None) -> dict[str, object]:
+    """Trigger settings: a micro-batch per interval, or all that is there now and then the end."""
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def publish_stream(
+    messages: DataFrame, kind: str, folder: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """The same as a stream."""
     return (
         encode(messages, kind)
         .select(ROUTED_BY[kind], "body")
@@ -76,6 +83,6 @@ def publish_stream(messages: DataFrame, kind: str, folder: str, checkpoint: str)
         .partitionBy(ROUTED_BY[kind])
         .option("path", folder)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**pace(every))
         .start()
     )

@@ -11,13 +11,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources import storage
+
 
 def _files(spark: SparkSession, root: str, prefix: str | None) -> DataFrame:
-    """Files below root, with `key` as the path relative to it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    marker = root.rstrip("/").split("://")[-1].lstrip("/") + "/"
-    files = files.withColumn("key", F.substring_index(F.url_decode("path"), marker, -1))
-    return files.filter(F.col("key").startswith(prefix)) if prefix else files
+    """Files below root, with `key` as the path relative to it.
+
+    Only what starts with the prefix is listed, not the whole root.
+    """
+    base = storage.qualified(spark, root)
+    place = base
+    if prefix:
+        place = f"{storage.literal(base)}/{storage.literal(prefix)}*"
+        if not storage.matches_any(spark, place):
+            return spark.createDataFrame([], _NO_FILES)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(place)
+    return files.withColumn("key", F.substring("path", len(base) + 2, 1_000_000))
+
+
+_NO_FILES = "path string, modificationTime timestamp, length bigint, content binary, key string"
 
 
 def _etag() -> Column:

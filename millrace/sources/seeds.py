@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.operators.tables import layout, store
+
 
 def read_seed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of the CSV files at `path`; a header or value that does not fit the schema fails the load."""
@@ -21,9 +23,8 @@ def load_seed(
 ) -> DataFrame:
     """Replace the table's rows with the seed; `full_refresh` replaces its schema as well."""
     rows = read_seed(spark, path, schema)
-    if full_refresh or not spark.catalog.tableExists(table):
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-        rows.write.format("parquet").saveAsTable(table)
-    else:
-        rows.write.insertInto(table, overwrite=True)
-    return spark.table(table)
+    if not full_refresh and spark.catalog.tableExists(table):
+        kept = spark.table(table)
+        if layout(kept) != layout(rows):
+            raise ValueError(f"{table} has another schema; load it with full_refresh")
+    return store(spark, table, rows)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from millrace.sources.messages import pace
 from millrace.streaming.envelope import decode
 
 
@@ -77,9 +78,17 @@ def intake(raw: DataFrame, known_steps: DataFrame | None = None) -> DataFrame:
 
 
 def consume_results(
-    raw: DataFrame, folder: str, checkpoint: str, known_steps: DataFrame | None = None
+    raw: DataFrame,
+    folder: str,
+    checkpoint: str,
+    known_steps: DataFrame | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Store every message of the stream with its outcome, then end when no more is there.
+    """Store every message of the stream with its outcome: what is there now, or, with an interval
+    such as `10 seconds`, what keeps coming.
+
+    `known_steps` is read once per micro-batch. Without it nothing is looked up, and patches of
+    unknown steps show later in `registry.unknown_patches`.
 
     Each micro-batch overwrites its own folder, so a replayed batch changes nothing, and one
     write carries patches, skips and rejects as partitions of one table. The folder is named after
@@ -95,7 +104,7 @@ def consume_results(
     return (
         raw.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**pace(every))
         .start()
     )
 

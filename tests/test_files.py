@@ -45,6 +45,24 @@ def test_scan_and_stat(spark, store):
     ]
 
 
+def test_keys_are_exact(spark, tmp_path):
+    """Names with pattern and escape characters, and a root name that occurs again below it."""
+    root = Path(tmp_path, "data")
+    names = ["a+b.txt", "c%20d.txt", "x/data/y.txt", "x/[1]{2}.txt", "x/star*.txt"]
+    for name in names:
+        path = Path(root, name)
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("1")
+    listed = lambda prefix=None: [r.path for r in objects.list_objects(spark, str(root), prefix).orderBy("path").collect()]
+    assert listed() == sorted(names)
+    assert listed("x/") == ["x/[1]{2}.txt", "x/data/y.txt", "x/star*.txt"]
+    assert listed("x/d") == ["x/data/y.txt"]
+    assert listed("x/[1]{") == ["x/[1]{2}.txt"]
+    assert listed("x/star*") == ["x/star*.txt"]
+    assert listed("c%") == ["c%20d.txt"]
+    assert listed("*") == []
+
+
 def node(kind, relation, *needs):
     return {"resource_type": kind, "relation_name": relation, "depends_on": {"nodes": list(needs)}}
 

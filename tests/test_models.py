@@ -104,6 +104,8 @@ def test_seed_replaces_rows_and_full_refresh_the_schema(spark, database, tmp_pat
     path.write_text("a,b\n3,z\n")
     assert rows(load_seed(spark, str(path), "a int, b string", table)) == [(3, "z")]
     path.write_text("a,b,c\n3,z,2024-01-31\n")
+    with pytest.raises(ValueError, match="full_refresh"):
+        load_seed(spark, str(path), "a int, b string, c date", table)
     refreshed = load_seed(spark, str(path), "a int, b string, c date", table, full_refresh=True)
     assert refreshed.columns == ["a", "b", "c"]
     path.write_text("a,b,c\nthree,z,2024-01-31\n")
