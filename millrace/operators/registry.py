@@ -140,8 +140,12 @@ def compact_steps(log: DataFrame) -> DataFrame:
 
 
 def append_log(patches: DataFrame, folder: str) -> None:
-    """Add log rows to a stored log, laid out by day so that a time range reads only its days."""
-    patches.withColumn("day", F.to_date("patched_at")).write.mode("append").partitionBy("day").parquet(folder)
+    """Add log rows to a stored log, laid out by day so that a time range reads only its days.
+
+    Rows are gathered by day first, into evenly sized files however much a day holds.
+    """
+    by_day = patches.withColumn("day", F.to_date("patched_at")).hint("rebalance", "day")
+    by_day.write.mode("append").partitionBy("day").parquet(folder)
 
 
 def read_log(spark: SparkSession, folder: str, ddl: str) -> DataFrame:

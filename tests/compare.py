@@ -47,6 +47,7 @@ def compare(spark, query, sql, folder) -> dict:
         and rows_of(got, frame.columns) == rows_of(want, names),
         "types": {n: (spark_types.get(n), sql_types.get(n)) for n in spark_types},
         "seconds": seconds,
+        "plan": frame._jdf.queryExecution().executedPlan().toString(),
         "sample": (rows_of(got, frame.columns)[:3], rows_of(want, names)[:3]),
         "diff": _diff(rows_of(got, frame.columns), rows_of(want, names)),
     }
