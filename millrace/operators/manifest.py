@@ -90,16 +90,22 @@ def _facts() -> Column:
 
     node, location, built = F.col("node"), F.col("location"), F.col("built")
     nowhere = F.lit(None).cast("string")
-    needs = F.when(built, F.col("needs")).otherwise(F.lit(None))
-    return F.concat(
+    needs = F.transform(
+        F.when(built, F.col("needs")), lambda other: fact("input", other, nowhere, other, F.lit(True))
+    )
+    nothing = F.array().cast(
+        "array<struct<role:string,key:string,location:string,node:string,counts:boolean>>"
+    )
+    said = F.concat(
         F.array(
             fact("input", node, location, node, F.lit(False)),
-            fact("output", F.coalesce(location, node), location, F.when(built, node), built),
+            fact("output", location, location, node, built),
         ),
-        F.coalesce(
-            F.transform(needs, lambda other: fact("input", other, nowhere, other, F.lit(True))),
-            F.array().cast(
-                "array<struct<role:string,key:string,location:string,node:string,counts:boolean>>"
-            ),
+        F.coalesce(needs, nothing),
+    )
+    return F.filter(
+        said,
+        lambda f: F.when(f["role"] == "output", f["counts"] & f["location"].isNotNull()).otherwise(
+            f["counts"] | f["location"].isNotNull()
         ),
     )

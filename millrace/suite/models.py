@@ -168,7 +168,7 @@ def _documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """
     orders = table(spark, folder, "orders")
     key = F.col("o_orderkey").cast("string")
-    project = F.concat(F.lit("project_"), key).alias("project")
+    project = F.concat(F.lit("p"), key).alias("project")
 
     def node(kind: str, relation, *needs) -> F.Column:
         need = F.array(*needs) if needs else F.array().cast("array<string>")
@@ -205,7 +205,7 @@ def _documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "m11_manifest_lineage",
-    """with o as (select 'project_' || o_orderkey as project, 'seed.c' || o_custkey as seed,
+    """with o as (select 'p' || o_orderkey as project, 'seed.c' || o_custkey as seed,
             'db.main.customer_' || o_custkey as seed_at, 'model.o' || o_orderkey as model,
             'db.main.order_' || o_orderkey as model_at, 'model.s' || o_orderstatus as mart,
             'db.main.status_' || o_orderstatus as mart_at,
