@@ -9,13 +9,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructField, StructType
 
 from millrace.functions.skew import salted_join
+from millrace.schemas import ASSET
 
 ASSET_FIELDS = (
     "asset_type", "location", "description", "columns", "tags",
     "upstream", "downstream", "created_by", "metadata",
 )
+REQUIRED = ("name", "asset_type")
 DIRECTIONS = ("upstream", "downstream", "both")
 
 
@@ -24,12 +27,8 @@ def registrations(assets: DataFrame) -> DataFrame:
 
     `name` and `asset_type` are required: rows without them are left out (see `rejected`).
     """
-    texts = {c: F.coalesce(c, F.lit("")) if c in assets.columns else F.lit("") for c in _TEXTS}
-    lists = {c: _or_empty(assets, c, t) for c, t in _LISTS.items()}
-    metadata = {"metadata": _or_empty(assets, "metadata", "map<string,string>")}
-    return (
-        _complete(assets, True).withColumns({**texts, **lists, **metadata}).withColumn("op", F.lit("register"))
-    )
+    filled = {f.name: _filled(assets, f) for f in StructType.fromDDL(ASSET) if f.name not in REQUIRED}
+    return _complete(assets, True).withColumns(filled).withColumn("op", F.lit("register"))
 
 
 def rejected(assets: DataFrame) -> DataFrame:
@@ -37,23 +36,23 @@ def rejected(assets: DataFrame) -> DataFrame:
     return _complete(assets, False)
 
 
-_TEXTS = ("location", "description", "created_by")
-_LISTS = {
-    "columns": "array<struct<name:string,type:string>>",
-    "tags": "array<string>",
-    "upstream": "array<string>",
-    "downstream": "array<string>",
-}
-
-
 def _complete(assets: DataFrame, wanted: bool) -> DataFrame:
-    given = [F.coalesce(F.col(c) != "", F.lit(False)) for c in ("name", "asset_type")]
+    given = [F.coalesce(F.col(c) != "", F.lit(False)) for c in REQUIRED]
     return assets.filter((given[0] & given[1]) == F.lit(wanted))
 
 
-def _or_empty(assets: DataFrame, column: str, kind: str) -> Column:
-    empty = (F.create_map() if kind.startswith("map") else F.array()).cast(kind)
-    return F.coalesce(F.col(column).cast(kind), empty) if column in assets.columns else empty
+def _filled(assets: DataFrame, field: StructField) -> Column:
+    """The asset's value or, by type, an empty list, map or text."""
+    if isinstance(field.dataType, ArrayType):
+        empty = F.array()
+    elif isinstance(field.dataType, MapType):
+        empty = F.create_map()
+    else:
+        empty = F.lit("")
+    empty = empty.cast(field.dataType)
+    if field.name not in assets.columns:
+        return empty
+    return F.coalesce(F.col(field.name).cast(field.dataType), empty)
 
 
 def current_assets(log: DataFrame) -> DataFrame:

@@ -29,7 +29,6 @@ EVENT_MESSAGE = """type string, payload map<string,string>, correlation_id strin
     timestamp string, source string"""
 
 # The status words of each record kind.
-JOB_STATUSES = ("pending", "running", "success", "failed", "cancelled")
 STEP_STATUSES = ("pending", "running", "success", "failed", "skipped")
 RESULT_STATUSES = ("success", "error", "pending")
 JOB_TERMINAL = ("success", "failed", "cancelled")
