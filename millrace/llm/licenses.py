@@ -4,7 +4,8 @@ The hashes of all rolling word k-grams of all documents are joined to those of t
 below, whose number is fixed. A hit at word i of the document and word j of a notice votes for the
 diagonal i - j. Votes are counted per document, notice and diagonal; diagonals that are at most `gap`
 apart are merged, since a word put in or left out shifts the rest. Every hit's words are compared with the
-notice's, and a span counts if they cover `coverage` of the notice. Native expressions only.
+notice's, and a span counts if they cover `coverage` of the notice and at least half of the words that no
+notice of another license has, such as `lesser`. Native expressions only.
 """
 
 from __future__ import annotations
@@ -99,12 +100,16 @@ def base(w: Column) -> Column:
 
 
 def notice_grams(spark: SparkSession, notices=NOTICES, size: int = GRAM) -> DataFrame:
-    """`gram_hash, gram, notice, label, place, n`: every k-gram of every notice."""
+    """`gram_hash, gram, notice, label, place, n, own`: every k-gram of every notice; `own` has the bits of
+    the words that only notices of this license have."""
     rows = []
     for number, (label, text) in enumerate(notices):
         parts = text.split(" ")
-        rows += [(" ".join(parts[j : j + size]), number, label, j, len(parts)) for j in range(len(parts) - size + 1)]
-    grams = spark.createDataFrame(rows, "gram string, notice int, label string, place int, n int")
+        others = {w for name, other in notices if name != label for w in other.split(" ")}
+        own = sum(1 << j for j, w in enumerate(parts) if w not in others)
+        for j in range(len(parts) - size + 1):
+            rows.append((" ".join(parts[j : j + size]), number, label, j, len(parts), own))
+    grams = spark.createDataFrame(rows, "gram string, notice int, label string, place int, n int, own long")
     parts = F.split("gram", " ")
     return grams.withColumn("gram_hash", F.xxhash64(*[F.get(parts, F.lit(k)) for k in range(size)]))
 
@@ -128,7 +133,7 @@ def spans(
     hits = rolled.join(F.broadcast(notice_grams(docs.sparkSession, notices, size)), F.col("h") == F.col("gram_hash"))
     hits = hits.where(F.concat_ws(" ", F.slice("words", F.col("i") + 1, size)) == F.col("gram"))
     seen = F.expr(f"shiftleft({(1 << size) - 1}L, place)")
-    key = ["doc_id", "text_hash", "notice", "label", "n"]
+    key = ["doc_id", "text_hash", "notice", "label", "n", "own"]
     diagonals = hits.select(*key, (F.col("i") - F.col("place")).alias("diagonal"), "i", seen.alias("seen"))
     diagonals = diagonals.groupBy(*key, "diagonal").agg(
         F.count("*").alias("votes"),
@@ -144,9 +149,11 @@ def spans(
         F.sum("votes").alias("votes"),
         F.min("first_word").alias("first_word"),
         F.max("last_word").alias("last_word"),
-        (F.bit_count(F.bit_or("seen")) / F.col("n")).alias("covered"),
+        F.bit_or("seen").alias("seen"),
     )
-    return found.where(F.col("covered") >= coverage).drop("n", "cluster")
+    found = found.withColumn("covered", F.bit_count("seen") / F.col("n"))
+    telling = 2 * F.bit_count(F.col("seen").bitwiseAND(F.col("own"))) >= F.bit_count("own")
+    return found.where((F.col("covered") >= coverage) & telling).drop("n", "own", "seen", "cluster")
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

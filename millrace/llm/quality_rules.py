@@ -17,7 +17,7 @@ from millrace.llm.common import NOT_SPACE, SPACE, let, query, table
 BUCKETS = 1 << 16
 #: Labelled documents at most that make up the trusted target, chosen by the hash of their id.
 TRUSTED = 20_000
-THRESHOLD = -0.25
+THRESHOLD = -0.15
 SMOOTHING = 1.0
 WINDOW = 5
 # The symbols that count as such, and the limits of the base rule.

@@ -4,8 +4,8 @@ A character language model over 27 symbols (a to z, and the break between words)
 all documents. Words that look disguised (leetspeak, signs between letters, letters three times in
 a row, single letters with blanks between) become a lattice of readings, of which Viterbi search takes the
 likeliest under the model. All other words are their own only reading. The lexicon is learned from
-labelled documents: words and word beginnings that toxic documents have and others lack, chosen one
-after another so that every toxic document is covered a few times. A document's evidence is the sum of the
+labelled documents: words, word beginnings, and beginnings that several words share, which toxic
+documents have and others lack, chosen one after another so that every toxic document is covered a few times. A document's evidence is the sum of the
 weights of the entries it holds, and a logistic curve turns it into a score.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,10 +27,11 @@ from millrace.llm.common import held_out, materialise, query, table
 ORDER = 4
 SYMBOLS = 27
 #: Labelled documents at most that the lexicon is fitted on, by the hash of their id.
-FIT = 20_000
+FIT = 12_000
 #: Candidates at most among which the lexicon is chosen, by the number of toxic documents.
 CANDIDATES = 5_000
-SUPPORT, PRECISION, COVER = 3, 0.9, 3
+#: A candidate's toxic share, the documents' cover, and the chance that any entry is a candidate by luck.
+PRECISION, COVER, LUCK = 0.95, 6, 0.01
 CACHED = 400_000
 
 # Letters that signs and digits stand for.
@@ -178,9 +180,17 @@ class Restorer:
 
 
 def entries(word: str) -> list[str]:
-    """What a word can match in the lexicon: itself, and its first four and five letters."""
+    """What a word can match in the lexicon: itself, and its first four to eight letters."""
     out = [word] if len(word) > 2 else []
-    return out + [f"{word[:k]}-" for k in (4, 5) if len(word) > k]
+    return out + [f"{word[:k]}-" for k in range(4, min(9, len(word)))]
+
+
+def counted(found: Counter) -> set[str]:
+    """Entries with their counts: a beginning that two or three different words share is one more entry."""
+    out = set(found)
+    for k in (2, 3):
+        out.update(f"{e}{k}" for e, n in found.items() if n >= k and e[-1] == "-")
+    return out
 
 
 @dataclass
@@ -196,38 +206,48 @@ class Lexicon:
 
 def held_entries(text: str | None, restorer: Restorer, cache: dict, wanted=None) -> set[str]:
     """All entries of a text, or those in `wanted`; cached per raw word."""
-    found: set[str] = set()
+    found: Counter = Counter()
     if not text:
-        return found
+        return set()
     low = text.lower()
     for raw in set(low.split()):
         got = cache.get(raw)
         if got is None:
             got = {e for w in restorer.word(raw) for e in entries(w)}
-            cache[raw] = got = tuple(got if wanted is None else got & wanted)
+            cache[raw] = got = tuple(got if wanted is None else (e for e in got if e in wanted))
         if got:
             found.update(got)
-    for w in restorer.spaced(low):
+    for w in set(restorer.spaced(low)):
         found.update(e for e in entries(w) if wanted is None or e in wanted)
     if len(cache) > CACHED:
         cache.clear()
-    return found
+    return counted(found)
 
 
 def choose(rows: list[set[str]], precision: dict[str, float], cover: int = COVER) -> list[str]:
-    """Entries that cover each toxic document up to `cover` times, the most useful first."""
-    names = sorted(precision)
+    """Entries that cover each toxic document up to `cover` times, the most useful first.
+
+    Of entries that the same documents hold only the longest is used, as it says most.
+    """
+    holders: dict[str, list[int]] = {}
+    for i, row in enumerate(rows):
+        for e in row:
+            holders.setdefault(e, []).append(i)
+    longest: dict[tuple, str] = {}
+    for e in sorted(holders, key=lambda e: (len(e), e)):
+        longest[tuple(holders[e])] = e
+    names = sorted(longest.values())
     at = {n: i for i, n in enumerate(names)}
     held = np.zeros((len(rows), len(names)), bool)
     for i, row in enumerate(rows):
-        held[i, [at[e] for e in row]] = True
+        held[i, [at[e] for e in row if e in at]] = True
     need = np.full(len(rows), cover)
     worth = np.array([precision[n] for n in names])
     chosen: list[str] = []
     while len(chosen) < len(names):
         gain = held[need > 0].sum(axis=0)
         best = int(np.argmax(gain * worth))
-        if gain[best] < max(2, 0.005 * len(rows)):
+        if gain[best] < max(3, 0.004 * len(rows)):
             break
         chosen.append(names[best])
         need -= held[:, best]
@@ -277,7 +297,11 @@ def fit(sample: DataFrame, model: CharacterModel) -> Lexicon:
     counts = rows.select("toxic", F.explode("held").alias("entry")).groupBy("entry").agg(
         F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0")
     )
-    counts = counts.where((F.col("n1") >= SUPPORT) & (F.col("n1") >= PRECISION * (F.col("n1") + F.col("n0"))))
+    counts = materialise(counts, "entries")
+    tested = max(1, counts.count())
+    support = math.ceil(math.log(LUCK / tested) / math.log(positive / (positive + negative)))
+    support = min(support, max(3, positive // 10))  # a few documents cannot show more
+    counts = counts.where((F.col("n1") >= support) & (F.col("n1") >= PRECISION * (F.col("n1") + F.col("n0"))))
     top = counts.orderBy(F.desc("n1"), "n0", "entry").limit(CANDIDATES).collect()
     known = {r["entry"]: (r["n1"], r["n0"]) for r in top}
     listed = sample.sparkSession.createDataFrame([(e, 1) for e in known], "entry string, hit int")
@@ -301,7 +325,7 @@ def fit(sample: DataFrame, model: CharacterModel) -> Lexicon:
 def scored(docs: DataFrame, model: CharacterModel, lexicon: Lexicon, text_column: str = "text", name: str = "score") -> DataFrame:
     """All rows and columns of `docs` with the score of the restored text, from 0 to 1."""
     restorer_of = lambda: Restorer(model)
-    wanted = set(lexicon.weights)
+    wanted = {e.rstrip("23") for e in lexicon.weights}
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -310,7 +334,7 @@ def scored(docs: DataFrame, model: CharacterModel, lexicon: Lexicon, text_column
             found = []
             for text in texts:
                 held = held_entries(text, restorer, cache, wanted)
-                found.append(lexicon.score(sum(lexicon.weights[e] for e in held)))
+                found.append(lexicon.score(sum(lexicon.weights.get(e, 0.0) for e in held)))
             yield pd.Series(found, dtype=float)
 
     return docs.withColumn(name, of(F.col(f"`{text_column}`")))
