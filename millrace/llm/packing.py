@@ -11,6 +11,7 @@ are filled by joins and windows over small groups, without any list of pieces on
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ from millrace.llm.common import materialise, query, table, worker_state
 WINDOW = 4096
 UNIT = 16
 END = 2
-#: Entries after which a worker drops its cache of encoded words, about 120 MB.
-CACHED = 500_000
+#: Entries after which a worker drops its cache of encoded words, about 250 MB.
+CACHED = 1_000_000
 
 
 class WordTokenizer:
@@ -48,7 +49,7 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
-        self.cache: dict[str, bytes] = {}
+        self.cache, self.number = _Words(self.encode), struct.Struct("<I").pack
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)
         kinds = [s.get("type") for s in ((steps.get("normalizer") or {}).get("normalizers") or [])]
@@ -57,34 +58,36 @@ class WordTokenizer:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def _encode(self, chunk: str) -> bytes:
+    def encode(self, chunk: str) -> bytes:
+        """Ids of a chunk without blanks."""
         if self.plain and chunk:
-            tail = chunk[-1] if chunk[-1] in ",." else ""
-            core = chunk[: len(chunk) - len(tail)]
+            tail = chunk[-1]
+            core = chunk[:-1] if tail in ",." else chunk
             if core and self.LETTERS.issuperset(core):
-                if tail or core != core.lower():
-                    small = core.lower()
-                    if small not in self.cache:
-                        self.cache[small] = self._encode(small)
-                    return self.cache[small] + (self._encode(tail) if tail else b"")
-                text = core if core.isascii() else "".join(map(self.shown.__getitem__, core.encode()))
-                return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+                if core is chunk and core.islower():
+                    text = core if core.isascii() else "".join([self.shown[b] for b in core.encode()])
+                    return b"".join([self.number(t.id) for t in self.model.tokenize(text)])
+                return self.cache[core.lower()] + (b"" if core is chunk else self.cache[tail])
         ids = self.whole.encode(chunk, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(map(self.number, ids))
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
-        cache = self.cache
-        if len(cache) > CACHED:
-            cache.clear()
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(cache.__getitem__, chunks))
-        except KeyError:
-            for chunk in set(chunks):
-                if chunk not in cache:
-                    cache[chunk] = self._encode(chunk)
-            return b"".join(map(cache.__getitem__, chunks))
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+        return b"".join(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+class _Words(dict):
+    """Ids per chunk, encoded when first asked for."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = ids = self.encode(chunk)
+        return ids
 
 
 def pieces(
