@@ -40,7 +40,7 @@ LEET = {
     "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
 }
 EDGE = ".,;:!?\"'()[]{}<>*#%&|~`-_=+/\\^«»“”„’…¿¡"
-RUN = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:\s(?:[^\W_]|[@$!|+])){2,}(?!\S)")
+RUN = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:\s(?:[^\W_]|[@$!|+])){2,}(?=[.,;:!?)]*(?:\s|$))")
 TRIPLE = re.compile(r"(.)\1\1")
 
 
