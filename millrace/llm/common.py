@@ -60,6 +60,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def short_batches(docs: DataFrame, most: int = 1000) -> None:
+    """Send whole texts to Python at most `most` at a time, so that long ones fit a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= most:
+        conf.set(name, str(most))
+
+
 def worker_state(name: str, make: Callable[[], object]):
     """An object that a Python worker keeps from task to task (caches, loaded vocabularies)."""
     holder = sys.modules.setdefault("millrace_worker_state", types.ModuleType("millrace_worker_state"))

@@ -20,13 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, query, table, worker_state
+from millrace.llm.common import materialise, query, short_batches, table, worker_state
 
 WINDOW = 4096
 UNIT = 16
 END = 2
-#: Entries after which a worker drops its cache of encoded words, about 250 MB.
-CACHED = 1_000_000
+#: Entries after which a worker drops its cache of encoded words, about 100 MB.
+CACHED = 400_000
 
 
 class WordTokenizer:
@@ -115,6 +115,7 @@ def pieces(
             columns = ["doc_id", "row_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
             yield pd.DataFrame(out, columns=columns)
 
+    short_batches(docs)
     rows = docs.select(
         F.col(id_column).alias("doc_id"),
         F.monotonically_increasing_id().alias("row_id"),

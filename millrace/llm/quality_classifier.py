@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, query, table
+from millrace.llm.common import held_out, query, short_batches, table
 from millrace.llm.toxicity import labelled
 
 #: Labelled documents at most that the trees are fitted on, by the hash of their id.
@@ -164,6 +164,7 @@ def rated(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     labels other than 0 and 1 teach nothing; repeated rows are scored alike. Without labels, or
     with one class alone, every score is the prior. An empty table gives an empty result.
     """
+    short_batches(docs)
     return scored(docs, fit(labelled(docs, labels, "quality", 4, 2, FIT)), name=name)
 
 

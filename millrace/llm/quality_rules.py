@@ -129,28 +129,29 @@ def rated(
     """
     model = ratios(docs, trusted, id_column, text_column, buckets)
     joined = docs.withColumn("rules", model.scalar())
-    text = F.col(text_column)
 
     def of(w: Column) -> Column:
         grams = ngrams(w, buckets)
         total = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(F.col("rules"), g))
         count = F.greatest(2 * F.size(w) - 1, F.lit(1))
-        score = F.coalesce(total / count, F.lit(0.0))
-        return F.struct(base(text, w).alias("base"), score.alias("score"))
+        parts = F.struct(base(F.col(text_column), w).alias("base"), F.coalesce(total / count, F.lit(0.0)).alias("score"))
+        return let(parts, judged)
 
-    joined = joined.withColumn("rules", let(words(text), of))
-    counts = F.col("rules.base")
-    failed = (counts["n_words"] < LEAST_WORDS) | (
-        100 * counts["n_repeat_words"] > MOST_REPEATED * counts["n_words"]
-    )
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    rules = F.struct(
-        *[counts[n].alias(n) for n in names],
-        failed.alias("base_failed"),
-        F.col("rules.score").alias("score"),
-        (~failed & (F.col("rules.score") >= threshold)).alias("kept"),
-    )
-    return joined.withColumn("rules", rules)
+    def judged(x: Column) -> Column:
+        counts = x["base"]
+        failed = (counts["n_words"] < LEAST_WORDS) | (
+            100 * counts["n_repeat_words"] > MOST_REPEATED * counts["n_words"]
+        )
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        return F.struct(
+            *[counts[n].alias(n) for n in names],
+            failed.alias("base_failed"),
+            x["score"].alias("score"),
+            (~failed & (x["score"] >= threshold)).alias("kept"),
+        )
+
+    # One expression, so that a filter on a field that is pushed below computes it once.
+    return joined.withColumn("rules", let(words(F.col(text_column)), of))
 
 
 def trusted_documents(labels: DataFrame, most: int = TRUSTED) -> DataFrame:

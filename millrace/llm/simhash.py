@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, query, table, unused
+from millrace.llm.common import materialise, query, short_batches, table, unused
 from millrace.llm.components import components
 
 SHINGLE = 3
@@ -173,6 +173,7 @@ def near_duplicates(
     any id has a null one. Repeated rows each keep their row. An empty table gives an empty result;
     other columns are ignored.
     """
+    short_batches(docs)
     rows = docs.select(F.col(id_column).alias("doc_id"), fingerprint_column(F.col(text_column), shingle).alias("fp"))
     rows = materialise(rows, "fingerprints")
     smallest = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, materialise, query, table
+from millrace.llm.common import held_out, materialise, query, short_batches, table
 
 ORDER = 4
 SYMBOLS = 27
@@ -32,7 +32,7 @@ FIT = 12_000
 CANDIDATES = 5_000
 #: A candidate's toxic share, the documents' cover, and the chance that any entry is a candidate by luck.
 PRECISION, COVER, LUCK = 0.95, 6, 0.01
-CACHED = 400_000
+CACHED = 250_000
 
 # Letters that signs and digits stand for.
 LEET = {
@@ -351,6 +351,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, of: int, remainder
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[CharacterModel, Lexicon]:
     """The character model of all `docs` and the lexicon of the labelled ones that are not held out."""
+    short_batches(docs)
     grams = character_counts(docs).toPandas()  # at most SYMBOLS ** ORDER rows
     model = CharacterModel(grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(float))
     return model, fit(labelled(docs, labels, "toxic", 5, 0, FIT), model)
