@@ -192,7 +192,7 @@ def test_licenses_edges(spark, edge_docs, edge_rows, no_docs):
 
 
 def test_license_spans(spark):
-    gpl = "This program is free software: you can redistribute it and/or modify it under the really quite strict terms of the GNU General Public License."
+    gpl = "This program is free software: you can redistribute it and/or modify it under the really strict terms of the GNU General Public License."
     rows = [
         (1, gpl), (2, "intro words " + gpl + " end"), (3, "Licensed under the GNU Lesser General Public License"),
         (4, "licensed under the sun and the moon"), (5, "İ APACHE-LICENSE K mit\nlicense"), (6, None), (7, "Licensed under CC BY-NC 4.0."),
