@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
-    """`prefix-` and 12 hex digits derived from the parts."""
-    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
-    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(text, 256), 1, 12))
+    """`prefix-` and the whole SHA-256 of the parts, each with its length before it and null as `-`.
+
+    No two lists of parts give one text, so equal ids mean equal parts.
+    """
+    texts = [p.cast("string") for p in parts]
+    told = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.concat(F.lit(f"{prefix}-"), F.sha2(F.concat(*told), 256))

@@ -134,7 +134,7 @@ def list_assets(assets: DataFrame) -> DataFrame:
 def asset_lineage(assets: DataFrame, names: DataFrame | None = None, direction: str = "both") -> DataFrame:
     """Rows `(name, direction, other)` from the stored neighbour lists: one hop, as registered."""
     if direction not in DIRECTIONS:
-        raise ValueError(f"Invalid direction: {direction}. Must be upstream, downstream, or both")
+        raise ValueError(f"no such direction: {direction} (known: {', '.join(DIRECTIONS)})")
     if names is not None:
         assets = assets.join(names.select("name").distinct(), "name", "left_semi")
     sides = [d for d in ("upstream", "downstream") if direction in (d, "both")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +13,14 @@ RUN_RESULTS = "results array<struct<unique_id:string,status:string>>"
 
 
 def read_documents(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Rows `(project, document)` for `<root>/<project>/target/<name>` files."""
+    """Rows `(project, document)` for `<root>/<project>/target/<name>` files; a project is the path
+    from the root to its folder."""
+    path = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
     file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return (
         spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name)
         .select(
-            F.regexp_extract(file, "([^/]+)/target/[^/]+$", 1).alias("project"),
+            F.regexp_extract(file, f"\\Q{path}\\E/+(?:(.*)/)?target/[^/]+$", 1).alias("project"),
             F.col("value").alias("document"),
         )
     )

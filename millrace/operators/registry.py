@@ -27,6 +27,7 @@ STEP_FIELDS = (
     "job_id", "step_name", "handler_type", "action", "status", "correlation_id", "inputs", "outputs",
     "executions", "started_at", "completed_at", "duration_ms", "error",
 )
+STEP_NEEDS = ("job_id", "step_name", "handler_type", "action")
 
 
 def _column(frame: DataFrame, name: str, default: Column) -> Column:
@@ -45,10 +46,33 @@ def _conform(frame: DataFrame, ddl: str, *extra: str) -> DataFrame:
     )
 
 
+def _missing(names: Sequence[str]) -> Column:
+    """The first of the columns that is null or empty, as a reason; null if none is."""
+    return F.coalesce(
+        *[F.when(F.coalesce(F.col(n) != "", F.lit(False)), None).otherwise(f"{n} is missing") for n in names]
+    )
+
+
+def rejected_jobs(requests: DataFrame) -> DataFrame:
+    """The job requests that `create_jobs` leaves out, with the `reason`."""
+    return requests.withColumn("reason", _missing(["pipeline"])).filter("reason is not null")
+
+
+def rejected_steps(requests: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """The step requests that `add_steps` leaves out, with the `reason`."""
+    reason = requests.withColumn("reason", _missing(STEP_NEEDS))
+    incomplete = reason.filter("reason is not null")
+    if jobs is None:
+        return incomplete
+    lost = orphan_steps(reason.filter("reason is null"), jobs)
+    return incomplete.unionByName(lost.withColumn("reason", F.lit("job does not exist")).select(*incomplete.columns))
+
+
 def create_jobs(requests: DataFrame, identity: Sequence[str]) -> DataFrame:
     """Create rows for requested jobs: pending, with defaults and a `job-…` id from `identity`.
 
-    `requests` needs `pipeline`, `patched_at` and `seq`; a given `job_id` is kept.
+    `requests` needs `pipeline`, `patched_at` and `seq`; a given `job_id` is kept. Requests without a
+    pipeline are in `rejected_jobs`.
     """
     environment = _column(requests, "environment", F.lit("dev"))
     jobs = requests.withColumns(
@@ -61,19 +85,21 @@ def create_jobs(requests: DataFrame, identity: Sequence[str]) -> DataFrame:
             "created_at": F.col("patched_at"),
             "op": F.lit("create"),
         }
-    ).filter(F.coalesce(F.col("pipeline") != "", F.lit(False)))
+    ).filter(_missing(["pipeline"]).isNull())
     return _conform(jobs, schemas.JOB, "op", "patched_at", "seq")
 
 
-def add_steps(requests: DataFrame, identity: Sequence[str]) -> DataFrame:
+def add_steps(requests: DataFrame, identity: Sequence[str], jobs: DataFrame | None = None) -> DataFrame:
     """Create rows for requested steps: pending, with empty lineage and a `step-…` id.
 
-    `requests` needs `job_id`, `step_name`, `handler_type`, `action`, `patched_at` and `seq`.
+    `requests` needs `job_id`, `step_name`, `handler_type`, `action`, `patched_at` and `seq`. With
+    `jobs`, steps of jobs that are not there are refused; `rejected_steps` has what is left out.
     """
-    needed = [F.coalesce(F.col(c) != "", F.lit(False)) for c in ("job_id", "step_name", "handler_type", "action")]
-    complete = needed[0] & needed[1] & needed[2] & needed[3]
     nothing = F.array()
-    steps = requests.filter(complete).withColumns(
+    complete = requests.filter(_missing(STEP_NEEDS).isNull())
+    if jobs is not None:
+        complete = complete.join(jobs.select("job_id").distinct(), "job_id", "left_semi")
+    steps = complete.withColumns(
         {
             "step_id": _column(requests, "step_id", stable_id("step", *[F.col(c) for c in identity])),
             "status": F.lit("pending"),
@@ -169,6 +195,7 @@ def get_by_id(records: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     ).withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+# The fields of a job query and their defaults.
 @dataclass(frozen=True)
 class JobQuery:
     pipeline: str | None = None

@@ -29,7 +29,6 @@ from millrace.sources import storage
 DEFAULT_DATABASE = "main"
 BUCKET = "key_bucket"
 SPEC = "millrace.spec"
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 Rows = DataFrame | Sequence[Mapping[str, Any]]
 
@@ -202,10 +201,11 @@ class _Staged:
     rows: DataFrame
     given: int
     size: int
+    limit: int
 
     @property
     def small(self) -> bool:
-        return self.size <= BROADCAST_BYTES
+        return self.size <= self.limit
 
 
 def _stage(
@@ -243,7 +243,8 @@ def _stage(
         storage.delete(spark, folder)
         raise
     schema = last.select(*plain).schema
-    return _Staged(folder, spark.read.schema(schema).parquet(folder), given, size)
+    limit = storage.broadcast_limit(spark)
+    return _Staged(folder, spark.read.schema(schema).parquet(folder), given, size, limit)
 
 
 def latest_rows(

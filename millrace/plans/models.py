@@ -86,9 +86,9 @@ class RunReport:
 
     @property
     def errors(self) -> list[str]:
-        """For a failed run: the command and its last ten problems."""
+        """For a failed run: the command and all its problems."""
         bad = [f"{row[0]}: {row[4] or row[2]}" for row in self.rows if row[2] not in ("success", "pass")]
-        return [f"{self.command} failed", *bad[-10:]] if bad else []
+        return [f"{self.command} failed", *bad] if bad else []
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, REPORT)

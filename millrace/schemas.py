@@ -21,7 +21,7 @@ COMMAND_MESSAGE = """type string, action string, payload map<string,string>, cor
     job_id string, step_id string, metadata map<string,string>, timestamp string"""
 
 RESULT_MESSAGE = f"""status string, data map<string,string>, errors array<string>,
-    correlation_id string, job_id string, step_id string, duration_ms int, timestamp string,
+    correlation_id string, job_id string, step_id string, duration_ms string, timestamp string,
     handler string, inputs array<{DATA_REF}>, outputs array<{DATA_REF}>,
     executions array<{EXECUTION}>"""
 

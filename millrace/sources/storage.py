@@ -39,3 +39,8 @@ def matches_any(spark: SparkSession, pattern: str) -> bool:
 def literal(text: str) -> str:
     """The text with characters escaped that mean something in a path pattern."""
     return re.sub(r"([\\{}\[\]*?,])", r"\\\1", text)
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which Spark itself broadcasts a side of a join; negative if it never does."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()

@@ -52,6 +52,10 @@ def decode(raw: DataFrame, kind: str) -> DataFrame:
         valid = valid & F.col(f"m.{field}").isNotNull()
     if kind == "result":
         valid = valid & F.col("m.status").isin(*schemas.RESULT_STATUSES)
+        # A whole number, also written as text or with zeros behind the point.
+        number = F.col("m.duration_ms").try_cast("double")
+        whole = (number == F.floor(number)) & (F.abs(number) <= 2**31 - 1)
+        valid = valid & (F.col("m.duration_ms").isNull() | F.coalesce(whole, F.lit(False)))
 
     when = F.try_to_timestamp("m.timestamp")
     valid = valid & (F.col("m.timestamp").isNull() | when.isNotNull())
@@ -66,7 +70,7 @@ def decode(raw: DataFrame, kind: str) -> DataFrame:
         nothing = F.array()
         out = out.withColumns(
             {
-                "duration_ms": F.coalesce("duration_ms", F.lit(0)),
+                "duration_ms": F.coalesce(F.col("duration_ms").try_cast("double").try_cast("int"), F.lit(0)),
                 "errors": F.coalesce("errors", nothing.cast("array<string>")),
             }
         )

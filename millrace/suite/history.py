@@ -140,7 +140,8 @@ def c7_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "r1_create_job",
-    """select 'job-' || substr(sha256(o_custkey || '|' || o_orderkey), 1, 12) as job_id,
+    """select 'job-' || sha256(length(cast(o_custkey as varchar)) || ':' || o_custkey
+          || length(cast(o_orderkey as varchar)) || ':' || o_orderkey) as job_id,
         o_orderpriority as pipeline, 'dev' as environment, 'dev' as namespace, 'pending' as status,
         'unknown' as logic_version, epoch_us(o_orderdate) as created_us from orders""",
 )
@@ -253,9 +254,58 @@ def r4_query_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("job_id", "pipeline", "environment", "status", _us("created_at"))
 
 
+@query(
+    "r1_rejected",
+    """select o_orderkey as number, case when o_orderkey % 3 = 0 then 'pipeline is missing' end as reason
+       from orders""",
+)
+def r1_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """Job requests, those of every third order without a pipeline: what is kept and what is refused."""
+    number = F.col("o_orderkey")
+    requests = table(spark, folder, "orders").select(
+        number.alias("number"),
+        F.when(number % 3 != 0, F.col("o_orderpriority")).alias("pipeline"),
+        F.concat(F.lit("job-"), number.cast("string")).alias("job_id"),
+        F.col("o_orderdate").cast("timestamp").alias("patched_at"),
+        number.alias("seq"),
+    )
+    kept = registry.create_jobs(requests, ["number"])
+    refused = registry.rejected_jobs(requests)
+    return kept.select(F.col("seq").alias("number"), F.lit(None).cast("string").alias("reason")).unionByName(
+        refused.select("number", "reason")
+    )
+
+
+@query(
+    "r5_rejected",
+    """select o_orderkey as number, case when o_orderkey % 3 = 0 then 'action is missing'
+         when o_custkey * 2 not in (select c_custkey from customer) then 'job does not exist' end as reason
+       from orders""",
+)
+def r5_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """Step requests, some without an action and some for jobs that do not exist: kept and refused."""
+    number = F.col("o_orderkey")
+    requests = table(spark, folder, "orders").select(
+        number.alias("number"),
+        F.concat(F.lit("job-"), (F.col("o_custkey") * 2).cast("string")).alias("job_id"),
+        F.lit("load").alias("step_name"),
+        F.lit("table").alias("handler_type"),
+        F.when(number % 3 != 0, "insert").alias("action"),
+        F.col("o_orderdate").cast("timestamp").alias("patched_at"),
+        number.alias("seq"),
+    )
+    customers = table(spark, folder, "customer")
+    jobs = customers.select(F.concat(F.lit("job-"), F.col("c_custkey").cast("string")).alias("job_id"))
+    kept = registry.add_steps(requests, ["number"], jobs)
+    refused = registry.rejected_steps(requests, jobs)
+    return kept.select(F.col("seq").alias("number"), F.lit(None).cast("string").alias("reason")).unionByName(
+        refused.select("number", "reason")
+    )
+
+
 @query(
     "r5_add_step",
-    """select 'step-' || substr(sha256(o_orderkey || ''), 1, 12) as step_id, 'job-' || o_custkey as job_id,
+    """select 'step-' || sha256(length(cast(o_orderkey as varchar)) || ':' || o_orderkey) as step_id, 'job-' || o_custkey as job_id,
         o_orderpriority as step_name, 'pending' as status, 0 as inputs,
         o_custkey * 2 not in (select c_custkey from customer) as orphan from orders""",
 )

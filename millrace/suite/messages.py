@@ -33,8 +33,8 @@ def _consumed(spark: SparkSession, folder: str, label: str, **options) -> DataFr
 
 @query(
     "s6_message_source",
-    f"""select 'c-' || event_id as correlation_id, event_id % 2 = 1 as wrapped from events
-        where {s.READABLE_SQL}""",
+    f"""select case when {s.READABLE_SQL} then 'c-' || event_id end as correlation_id,
+        {s.READABLE_SQL} and event_id % 2 = 1 as wrapped from events""",
 )
 def s6_message_source(spark: SparkSession, folder: str) -> DataFrame:
     queue = _queue(spark, folder, s.command_messages(spark, folder), "source_queue")
@@ -47,7 +47,7 @@ def s6_message_source(spark: SparkSession, folder: str) -> DataFrame:
     query.awaitTermination()
     raw = spark.read.schema("body string").parquet(place)
     message = envelope.unwrap(F.col("body"))
-    return raw.filter("body <> 'not json'").select(
+    return raw.select(
         F.get_json_object(message, "$.correlation_id").alias("correlation_id"),
         (message != F.col("body")).alias("wrapped"),
     )
@@ -121,7 +121,7 @@ _PATCH_SQL = f"""select 'step-' || event_id as step_id,
         case when event_type = 'purchase' then 'success' else 'failed' end as status,
         {s.K_SQL} as duration_ms, 'main.t' || ({s.K_SQL} % 10) as inputs,
         case when event_type = 'purchase' then 'main.t' || ({s.K_SQL} % 5) end as outputs,
-        case when event_type = 'error' then 'Connection timeout; Retry failed' end as error,
+        case when event_type = 'error' then 'no answer; gave up' end as error,
         epoch_us(ts) as patched_us
     from events where {s.READABLE_SQL} and event_id % 10 <> 0"""
 

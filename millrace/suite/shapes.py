@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.positions import positions
 from millrace.operators import checks, sql, tables
 from millrace.operators.tables import ColumnSpec
 from millrace.plans import budget
@@ -281,22 +282,19 @@ def q22_paging(spark: SparkSession, folder: str) -> DataFrame:
     "q23_nulls_last",
     f"""select step_id, completed_us, started_us,
         cast(row_number() over (order by completed_us desc nulls last, step_id) as bigint) as position
-        from ({s.STEPS_SQL}) order by completed_us desc nulls last, step_id limit 5000""",
+        from ({s.STEPS_SQL})""",
 )
 def q23_nulls_last(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 5 000 steps by completion with unfinished ones last, and their position in that list."""
-    top = (
+    """All steps by completion with unfinished ones last, and their position in that list."""
+    steps = (
         s.steps(spark, folder)
         .select(
             "step_id",
             F.unix_micros("completed_at").alias("completed_us"),
             F.unix_micros("started_at").alias("started_us"),
         )
-        .orderBy(F.desc_nulls_last("completed_us"), "step_id")
-        .limit(5000)
     )
-    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("completed_us"), "step_id"))
-    return top.withColumn("position", place.cast("bigint"))
+    return positions(steps, F.desc_nulls_last("completed_us"), F.asc("step_id"))
 
 
 # --- general coverage ------------------------------------------------------------------------

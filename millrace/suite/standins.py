@@ -232,7 +232,7 @@ def result_messages(spark: SparkSession, folder: str) -> DataFrame:
         F.when(success, "success").when(F.col("event_type") == "signup", "pending").otherwise("error").alias("status"),
         F.create_map(F.lit("k"), k.cast("string")).alias("data"),
         F.when(
-            F.col("event_type") == "error", F.array(F.lit("Connection timeout"), F.lit("Retry failed"))
+            F.col("event_type") == "error", F.array(F.lit("no answer"), F.lit("gave up"))
         ).otherwise(F.array().cast("array<string>")).alias("errors"),
         F.concat(F.lit("c-"), key.cast("string")).alias("correlation_id"),
         _job_id("user_id").alias("job_id"),

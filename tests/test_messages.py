@@ -95,7 +95,7 @@ def test_patches(spark):
     raw = bodies(
         spark,
         result(step_id="ok", inputs=[FILE], outputs=[TABLE], duration_ms=5),
-        result(step_id="bad", status="error", errors=["Connection timeout", "Retry failed"]),
+        result(step_id="bad", status="error", errors=["no answer", "gave up"]),
         result(step_id="wait", status="pending"),
         result(step_id=...),
         result(step_id=""),
@@ -104,7 +104,7 @@ def test_patches(spark):
     assert set(found) == {"ok", "bad", "wait"}
     assert (found["ok"].status, found["ok"].error, found["ok"].executions) == ("success", None, None)
     assert found["ok"].outputs[0].location == "main.stg_data"
-    assert (found["bad"].status, found["bad"].error) == ("failed", "Connection timeout; Retry failed")
+    assert (found["bad"].status, found["bad"].error) == ("failed", "no answer; gave up")
     assert found["wait"].status == "failed"
 
 

@@ -36,7 +36,7 @@ def test_create_fills_defaults_and_keeps_given_ids(spark):
     ]
     ids = [r.job_id for r in jobs.collect()]
     assert "job-mine" in ids and len(set(ids)) == 3
-    assert all(len(i) == 16 and i.startswith("job-") for i in ids if i != "job-mine")
+    assert all(len(i) == 68 and i.startswith("job-") for i in ids if i != "job-mine")
 
 
 def test_status_sets_times_and_metadata_merges(spark):
