@@ -55,13 +55,15 @@ def _filled(assets: DataFrame, field: StructField) -> Column:
     return F.coalesce(F.col(field.name).cast(field.dataType), empty)
 
 
-def current_assets(log: DataFrame) -> DataFrame:
-    """The newest registration of each name that is not unregistered.
+def current_assets(log: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The newest registration of each name that is not unregistered; with `wanted` (name), of those names.
 
     A registration replaces the asset as a whole. `created_at` is the first registration after the
     name was last removed. The log itself is only aggregated, never shuffled row by row, apart from
     the registrations of names that were once removed: those are compared with the last removal.
     """
+    if wanted is not None:
+        log = log.join(wanted.select("name").distinct(), "name", "left_semi").select(*log.columns)
     order = F.struct("logged_at", "seq")
     registers = F.col("op") == "register"
     state = (

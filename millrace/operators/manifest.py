@@ -31,28 +31,25 @@ def manifest_lineage(manifests: DataFrame, run_results: DataFrame) -> DataFrame:
 
     The nodes that ran are those with status `success`, or all models when there are none.
     Only models and seeds are outputs, one per relation; inputs are the relations of what they
-    depend on, one per node. Each manifest is parsed once; from there on every row is keyed by
-    project and node, so one project with a huge manifest is spread like many small ones.
+    depend on, one per node. Both documents of a project are parsed once and meet in one row; from
+    there on every row is keyed by project and node, so one project with a huge manifest is spread
+    like many small ones.
     """
-    succeeded = _succeeded(run_results)
-    some = succeeded.select("project").distinct().withColumn("some", F.lit(True))
-    parsed = manifests.select(
-        "project", F.explode(F.array(F.from_json("document", MANIFEST))).alias("m")
-    ).join(some, "project", "left")
+    parsed = manifests.join(_succeeded(run_results), "project", "left").select(
+        "project", "done", F.explode(F.array(F.from_json("document", MANIFEST))).alias("m")
+    )
     nodes = parsed.select(
-        "project", "some", F.explode_outer("m.nodes").alias("node", "n")
+        "project", "done", F.explode_outer("m.nodes").alias("node", "n")
     ).select(
         "project",
         "node",
         F.col("n.resource_type").alias("kind"),
         F.translate(F.nullif("n.relation_name", F.lit("")), '"', "").alias("location"),
         F.col("n.depends_on.nodes").alias("needs"),
-        F.coalesce("some", F.lit(False)).alias("some"),
-    )
-    ran = F.when(F.col("some"), F.col("ran").isNotNull()).otherwise(F.col("kind") == "model")
-    flagged = nodes.join(succeeded.withColumn("ran", F.lit(True)), ["project", "node"], "left").withColumn(
-        "built", ran & F.col("kind").isin("model", "seed")
+        "done",
     )
+    ran = F.when(F.size("done") > 0, F.array_contains("done", F.col("node"))).otherwise(F.col("kind") == "model")
+    flagged = nodes.withColumn("built", ran & F.col("kind").isin("model", "seed")).drop("done")
     facts = flagged.select("project", F.inline(_facts()))
     return (
         facts.groupBy("project", "role", "key")
@@ -67,14 +64,10 @@ def manifest_lineage(manifests: DataFrame, run_results: DataFrame) -> DataFrame:
 
 
 def _succeeded(run_results: DataFrame) -> DataFrame:
-    """Rows `(project, node)` of the nodes that ran well."""
-    parsed = F.from_json("document", RUN_RESULTS)["results"]
-    return (
-        run_results.select("project", F.explode_outer(parsed).alias("r"))
-        .filter(F.col("r.status") == "success")
-        .select("project", F.col("r.unique_id").alias("node"))
-        .distinct()
-    )
+    """Rows `(project, done)`: the nodes that ran well, from all of a project's run results."""
+    results = F.from_json("document", RUN_RESULTS)["results"]
+    done = F.transform(F.filter(results, lambda r: r["status"] == "success"), lambda r: r["unique_id"])
+    return run_results.groupBy("project").agg(F.array_distinct(F.flatten(F.collect_list(done))).alias("done"))
 
 
 def _facts() -> Column:

@@ -139,17 +139,25 @@ def _updates(patches: DataFrame, ddl: str, terminal: Sequence[str]) -> DataFrame
     )
 
 
-def current_jobs(log: DataFrame) -> DataFrame:
-    """One row per created job: newest value of each field, metadata merged entry by entry."""
-    return _current(log, "job_id", JOB_FIELDS)
+def current_jobs(log: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """One row per created job: newest value of each field, metadata merged entry by entry.
+
+    With `wanted` (job_id), only the patches of those jobs are folded.
+    """
+    return _current(log, "job_id", JOB_FIELDS, wanted)
 
 
-def current_steps(log: DataFrame) -> DataFrame:
-    """One row per added step; lineage lists are replaced as a whole by the newest patch that has them."""
-    return _current(log, "step_id", STEP_FIELDS)
+def current_steps(log: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """One row per added step; lineage lists are replaced as a whole by the newest patch that has them.
+
+    With `wanted` (step_id), only the patches of those steps are folded.
+    """
+    return _current(log, "step_id", STEP_FIELDS, wanted)
 
 
-def _current(log: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+def _current(log: DataFrame, key: str, fields: Sequence[str], wanted: DataFrame | None = None) -> DataFrame:
+    if wanted is not None:
+        log = log.join(wanted.select(key).distinct(), key, "left_semi").select(*log.columns)
     created = F.max(F.col("op") == "create").alias("_created")
     state = fold(log, key, fields, maps=["metadata"], extra=[created])
     return state.filter("_created").drop("_created")

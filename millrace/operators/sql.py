@@ -77,9 +77,19 @@ def execute(
     return CappedRows(result.schema, result.rows, result.truncated, execution_record(sql, parameters))
 
 
-def execute_script(spark: SparkSession, statements: Sequence[str]) -> dict[str, Any]:
-    """Run statements in order for their effect; a single `BEGIN … END` script is one statement."""
-    for sql in statements:
+def execute_script(spark: SparkSession, statements: Sequence[str] | str) -> dict[str, Any]:
+    """Run statements in order for their effect.
+
+    A list has one statement, or one `BEGIN … END` script, in each entry; a text has several statements
+    with semicolons between them.
+    """
+    if isinstance(statements, str):
+        text = statements.strip().rstrip(";").rstrip()
+        statements = [statements]
+        scripts = [f"BEGIN\n{text};\nEND"] if text else []
+    else:
+        scripts = list(statements)
+    for sql in scripts:
         statement(spark, sql)
     return execution_record(statements)
 

@@ -18,7 +18,8 @@ COMMAND_TOPIC = {
 
 _SCHEMA = {
     "command": schemas.COMMAND_MESSAGE,
-    "result": schemas.RESULT_MESSAGE,
+    # Read as text, so that a number in another form does not spoil the message.
+    "result": schemas.RESULT_MESSAGE.replace("duration_ms int", "duration_ms string"),
     "event": schemas.EVENT_MESSAGE,
 }
 _REQUIRED = {

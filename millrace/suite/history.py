@@ -68,7 +68,8 @@ def c3_get(spark: SparkSession, folder: str) -> DataFrame:
     """All part names, which are assets, and all brands, which are not."""
     parts = table(spark, folder, "part")
     wanted = parts.select(F.col("p_name").alias("name")).union(parts.select("p_brand"))
-    return catalog.get_assets(_assets(spark, folder), wanted).select(
+    assets = catalog.current_assets(s.asset_log(spark, folder), wanted)
+    return catalog.get_assets(assets, wanted).select(
         "name", "found", "asset_type", "location"
     )
 
@@ -194,7 +195,8 @@ def r2_get_job(spark: SparkSession, folder: str) -> DataFrame:
     wanted = table(spark, folder, "events").select(
         F.concat(F.lit("job-"), (F.col("user_id") * 20).cast("string")).alias("job_id")
     )
-    return registry.get_by_id(s.jobs(spark, folder), wanted, "job_id").select(
+    jobs = registry.current_jobs(s.job_log(spark, folder), wanted)
+    return registry.get_by_id(jobs, wanted, "job_id").select(
         "job_id", "found", "status", "pipeline"
     )
 

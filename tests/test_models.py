@@ -208,4 +208,4 @@ def test_transform_result(spark, database, seeds):
     failing = Project(spark, database, [Model(f"m{i}", broken) for i in range(12)])
     bad = transform_result(spark, context, failing.run).first()
     assert (bad.status, bad.data, bad.executions, bad.outputs) == ("error", None, [], [])
-    assert bad.errors[0] == "run failed" and len(bad.errors) == 11 and bad.errors[-1] == "m11: bad model"
+    assert bad.errors[0] == "run failed" and len(bad.errors) == 13 and bad.errors[-1] == "m11: bad model"

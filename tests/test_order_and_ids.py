@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions.folding import compact, fold
 from millrace.functions.ids import stable_id
 from millrace.functions.positions import positions
-from millrace.operators import registry, tables
+from millrace.operators import manifest, registry, sql, tables
 from millrace.operators.tables import ColumnSpec
 from millrace.streaming import envelope
 
@@ -52,6 +52,25 @@ def test_refused_requests(spark):
     assert registry.add_steps(requests, ["seq"]).count() + registry.rejected_steps(requests).count() == 4
 
 
+def test_script_text(spark, database):
+    sql.execute_script(spark, f"CREATE TABLE {database}.t (id INT, name STRING) USING parquet;\nINSERT INTO {database}.t VALUES (4, 'x;y'), (5, 'z');\n")
+    assert rows(spark.table(f"{database}.t")) == [(4, "x;y"), (5, "z")]
+    assert sql.execute_script(spark, " ; ")
+
+
+def test_projects_of_one_folder_name(spark, tmp_path):
+    for side, good in (("a", True), ("b", False)):
+        target = tmp_path / side / "proj" / "target"
+        target.mkdir(parents=True)
+        node = {"resource_type": "model", "relation_name": f"main.{side}", "depends_on": {"nodes": []}}
+        (target / "manifest.json").write_text(json.dumps({"nodes": {f"model.{side}": node}}))
+        if good:
+            (target / "run_results.json").write_text(json.dumps({"results": [{"unique_id": f"model.{side}", "status": "success"}]}))
+    documents = [manifest.read_documents(spark, str(tmp_path), n) for n in ("manifest.json", "run_results.json")]
+    found = manifest.manifest_lineage(*documents)
+    assert rows(found.select("project", "role", "location")) == [("a/proj", "output", "main.a"), ("b/proj", "output", "main.b")]
+
+
 def test_durations_are_converted(spark):
     given = [12, "12", 12.0, "12.0", None, 12.5, "x", 2**40]
     bodies = [(json.dumps({"status": "success", "correlation_id": str(i), "duration_ms": d}),) for i, d in enumerate(given)]
