@@ -10,8 +10,6 @@ parts of a quarter shard, its rows dealt evenly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -85,23 +83,16 @@ def shards(
 
     cells = max(1, -(-totals[3] // CELL))
     small = groups.where(F.col("share") <= limit).withColumn("cell", F.pmod(F.xxhash64("text_key"), F.lit(cells)).cast("int"))
-    loads = {r["cell"]: np.array(r[1:], float) / total for r in small.groupBy("cell").agg(*[F.sum(c) for c in SIZES]).collect()}
-    rest = sum(loads.values(), np.zeros(len(SIZES)))
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: dict[int, np.ndarray] = {}
-        for batch in batches:
-            sizes = batch[list(SIZES)].to_numpy(float) / total
-            chosen = np.zeros(len(batch), np.int32)
-            for cell in batch["cell"].unique():
-                if cell not in own:
-                    own[cell] = room * np.where(rest > 0, loads[cell] / np.maximum(rest, 1e-300), 0.0)
-                at = np.flatnonzero(batch["cell"].to_numpy() == cell)
-                chosen[at] = place(sizes[at], own[cell])
-            yield pd.DataFrame({"text_key": batch["text_key"], "part": 0, "parts": 1, "shard": chosen})
-
-    dealt = small.repartition(cells, "cell").sortWithinPartitions("cell", F.desc("share"), "text_key")
-    light = dealt.mapInPandas(fill, "text_key string, part int, parts int, shard int")
+    rest = np.array(small.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in SIZES]).first(), float) / total
+
+    def fill(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values(["share", "text_key"], ascending=[False, True])
+        sizes = cell[list(SIZES)].to_numpy(float) / total
+        own = room * np.where(rest > 0, sizes.sum(axis=0) / np.maximum(rest, 1e-300), 0.0)
+        return pd.DataFrame({"text_key": cell["text_key"], "part": 0, "parts": 1, "shard": place(sizes, own)})
+
+    # A cell is about CELL groups by their hash, whatever the corpus.
+    light = small.groupBy("cell").applyInPandas(fill, "text_key string, part int, parts int, shard int")
     homes = materialise(first.unionByName(light), "homes")
     split = homes.where("parts > 1").select(F.col("text_key").alias("split_key"), "parts").distinct()
     cut = rows.join(F.broadcast(split), F.col("text_key").eqNullSafe(F.col("split_key")), "left")  # at most 8 texts
