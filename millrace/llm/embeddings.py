@@ -65,6 +65,7 @@ def compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     number, first, second = (int(rows[c].iloc[0]) for c in ("number", "first", "second"))
     rows = rows.sort_values("class_id", kind="stable")
     unit = np.array(rows["vector"].tolist(), float)
+    unit /= np.abs(unit).max(axis=1, keepdims=True)  # squares of huge or tiny components stay in range
     unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
     part, ids, weight = rows["part"].to_numpy(), rows["class_id"].to_numpy(), rows["members"].to_numpy()
     seen = np.array(rows["buckets"].tolist(), np.int64).reshape(len(rows), -1)

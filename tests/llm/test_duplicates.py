@@ -146,6 +146,13 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_magnitude(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [1.0, 2.0]), (2, [1e200, 2e200]), (3, [2.0, -1.0]), (4, [3e-320, 0.0])]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    expected = [(0, 2, 0, True), (1, 2, 0, False), (2, 2, 0, False), (3, 0, 3, True), (4, 0, 4, True)]
+    assert sorted(tuple(r) for r in found.collect()) == expected
+
+
 def test_embeddings_query(spark):
     folder = "/root/testdata/sf0.001"
     found = embeddings.op2(spark, folder)
