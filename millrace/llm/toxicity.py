@@ -96,8 +96,9 @@ class CharacterModel:
             p = (part + 5 * p) / (part.sum(axis=-1, keepdims=True) + 5)
         self.log = np.log(p).astype(np.float32)
 
-    def decode(self, steps: list[list[tuple[tuple[int, ...], float]]], beam: int = 64) -> list[int]:
-        """The likeliest reading of a lattice: per step a list of (symbols, cost)."""
+    def decode(self, steps: list[list[tuple[tuple[int, ...], float]]]) -> list[int]:
+        """The likeliest reading of a lattice: per step a list of (symbols, cost). States are the last
+        three symbols, of which the options of three steps leave few, so the search is exact."""
         log = self.log
         states = {(0, 0, 0): (0.0, None)}
         for options in [*steps, [((0,), 0.0)]]:
@@ -111,8 +112,6 @@ class CharacterModel:
                             a, b, c, at = b, c, y, (at, y)
                     if (a, b, c) not in ahead or ahead[a, b, c][0] < s:
                         ahead[a, b, c] = (s, at)
-            if len(ahead) > beam:
-                ahead = dict(sorted(ahead.items(), key=lambda kv: -kv[1][0])[:beam])
             states = ahead
         path = max(states.values(), key=lambda v: v[0])[1]
         out = []
@@ -162,7 +161,7 @@ class Restorer:
         letters = sum(map(str.isalpha, core))
         if not letters:
             return ()
-        if len(core) <= 3 * letters and len(core) <= 40:
+        if len(core) <= 3 * letters:
             return self.read(core)
         return tuple(re.findall(r"[^\W\d_]+", core))
 
