@@ -36,6 +36,16 @@ def null_counts(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     return frame.agg(F.count("*").alias("row_count"), *counts)
 
 
+def value_faults(frame: DataFrame, column: str) -> DataFrame:
+    """One row: `repeated`, values (null apart) that occur more than once, and `nulls`, rows without a value."""
+    counts = frame.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    known = F.col("value").isNotNull()
+    return counts.agg(
+        F.count_if(known & (F.col("n") > 1)).alias("repeated"),
+        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("nulls"),
+    )
+
+
 def constraint_report(
     frame: DataFrame, required: Sequence[str] = (), keys: Sequence[str] = ()
 ) -> DataFrame:

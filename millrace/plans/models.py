@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import warnings
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from fnmatch import fnmatchcase
 from functools import reduce
 from graphlib import TopologicalSorter
 
@@ -131,45 +134,66 @@ class Project:
     def __init__(self, spark: SparkSession, database: str, models: list[Model]) -> None:
         self.spark, self.database = spark, database
         self.models = {m.name: m for m in models}
-        order = TopologicalSorter(
-            {m.name: [r for r in m.refs if r in self.models] for m in models}
-        ).static_order()
-        self.order = list(order)
+        needs = {m.name: [r for r in m.refs if r in self.models] for m in models}
+        for model in models:  # what a test compares with comes first, unless it needs the model itself
+            for test in model.tests:
+                if test.to in self.models and model.name not in self._reach({test.to}, lambda n: needs[n]):
+                    needs[model.name].append(test.to)
+        self.order = list(TopologicalSorter(needs).static_order())
         self.built: dict[str, DataFrame] = {}
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
 
     def selected(self, select: str | None = None, exclude: str | None = None) -> list[str]:
-        """Node names in dependency order. `name`, `+name` (with what it needs), `name+` (with what
-        needs it) and `tag:t`, joined by spaces; a name nobody has selects nothing."""
+        """Node names in dependency order.
+
+        Terms joined by spaces add up; within a term, parts joined by commas must all hold. A part is a
+        name or a pattern with `*` and `?`, `tag:t`, or one of `seed`, `model` after `resource_type:`. `+name`
+        adds what it needs, `name+` what needs it, `2+name` and `name+1` only so many steps, `@name` what
+        needs it together with all that those need. A part that nothing meets is warned of.
+        """
         chosen = self._matching(select) if select else set(self.models)
         left_out = self._matching(exclude) if exclude else set()
         return [n for n in self.order if n in chosen and n not in left_out]
 
     def _matching(self, text: str) -> set[str]:
-        found: set[str] = set()
-        for term in text.split():
-            core = term.strip("+")
-            if core.startswith("tag:"):
-                hits = {n for n, m in self.models.items() if core[4:] in m.tags}
-            else:
-                hits = {core} & set(self.models)
-            if term.startswith("+"):
-                hits |= self._reach(hits, lambda n: self.models[n].refs)
-            if term.endswith("+"):
-                hits |= self._reach(hits, self._dependents)
-            found |= hits
+        return {n for term in text.split() for n in set.intersection(*map(self._part, term.split(",")))}
+
+    def _part(self, part: str) -> set[str]:
+        before, up, core, down, after = re.fullmatch(r"(\d*)(\+|@)?(.*?)(\+)?(\d*)", part).groups()
+        if not up:
+            core, before = before + core, ""
+        if not down:
+            core, after = core + after, ""
+        method, _, value = core.rpartition(":")
+        if method not in ("", "tag", "resource_type"):
+            raise ValueError(f"selection method not known: {method}")
+        traits = {
+            "": lambda m: [m.name],
+            "tag": lambda m: m.tags,
+            "resource_type": lambda m: [m.kind],
+        }[method]
+        hits = {n for n, m in self.models.items() if any(fnmatchcase(t, value) for t in traits(m))}
+        if not hits:
+            warnings.warn(f"nothing meets the selection {part!r}", stacklevel=2)
+        needs = lambda n: self.models[n].refs
+        found = set(hits)
+        if up == "@":
+            found = self._reach(self._reach(hits, self._dependents), needs)
+        elif up:
+            found |= self._reach(hits, needs, int(before) if before else None)
+        if down:
+            found |= self._reach(hits, self._dependents, int(after) if after else None)
         return found
 
     def _dependents(self, name: str) -> list[str]:
         return [n for n, m in self.models.items() if name in m.refs]
 
-    def _reach(self, start: set[str], step: Callable) -> set[str]:
-        seen, todo = set(start), list(start)
-        while todo:
-            for name in step(todo.pop()):
-                if name in self.models and name not in seen:
-                    seen.add(name)
-                    todo.append(name)
+    def _reach(self, start: set[str], step: Callable, steps: int | None = None) -> set[str]:
+        seen, edge = set(start), set(start)
+        while edge and steps != 0:
+            edge = {n for e in edge for n in step(e) if n in self.models} - seen
+            seen |= edge
+            steps = steps if steps is None else steps - 1
         return seen
 
     def relation(self, name: str) -> str:
@@ -230,37 +254,54 @@ class Project:
     def _walk(self, command, select, exclude, full_refresh, stamp, kinds, with_tests) -> RunReport:
         report = RunReport(command, *stamp)
         blocked: set[str] = set()
-        for name in self.selected(select, exclude):
+        unbuilt: set[str] = set()
+        chosen = self.selected(select, exclude)
+        waiting = {n: [] for n in chosen}
+        for name in chosen:
             model = self.models[name]
             if model.kind not in kinds:
                 continue
             if blocked & set(model.refs):
                 blocked.add(name)
+                unbuilt.add(name)
                 report.rows.append((name, model.kind, "skipped", None, None))
                 continue
             try:
                 self._make(name, full_refresh)
             except Exception as error:  # noqa: BLE001 - reported per node
                 blocked.add(name)
+                unbuilt.add(name)
                 report.rows.append((name, model.kind, "error", None, str(error)))
                 continue
             report.rows.append((name, model.kind, "success", None, None))
             self._lineage(report, name)
-            if with_tests and model.tests:
-                outcomes = self._test_rows([name])
-                report.rows.extend(outcomes)
-                if any(row[2] == "fail" for row in outcomes):
-                    blocked.add(name)
+            if not with_tests:
+                continue
+            ahead = set(chosen[chosen.index(name) + 1 :])
+            due = waiting.pop(name) + [(name, t) for t in model.tests if t.to not in ahead]
+            for test in model.tests:  # its parent needs this very model and is still to come
+                if test.to in ahead:
+                    waiting[test.to].append((name, test))
+            outcomes = self._test_rows([(n, t) for n, t in due if t.to not in unbuilt])
+            outcomes += [(t.label(n), "test", "skipped", None, None) for n, t in due if t.to in unbuilt]
+            report.rows.extend(outcomes)
+            failed = {row[0] for row in outcomes if row[2] == "fail"}
+            blocked |= {n for n, t in due if t.label(n) in failed}
+        left = [(n, t) for tests in waiting.values() for n, t in tests]
+        report.rows.extend((t.label(n), "test", "skipped", None, None) for n, t in left)
         return report
 
     def test(self, select: str | None = None, exclude: str | None = None) -> RunReport:
         """Run the data tests of the selected nodes; a test fails if any value offends."""
         report = RunReport("test", "unknown", "unknown")
-        report.rows = self._test_rows(self.selected(select, exclude))
+        report.rows = self._test_rows(self._tests(self.selected(select, exclude)))
         return report
 
-    def _test_rows(self, names: list[str]) -> list[tuple]:
-        counts = self.test_counts(names)
+    def _tests(self, names: list[str]) -> list[tuple[str, DataTest]]:
+        return [(n, t) for n in names for t in self.models[n].tests]
+
+    def _test_rows(self, tests: list[tuple[str, DataTest]]) -> list[tuple]:
+        counts = self._counts(tests)
         if counts is None:
             return []
         return [
@@ -269,27 +310,34 @@ class Project:
         ]
 
     def test_counts(self, names: list[str]) -> DataFrame | None:
-        """Rows `(node, failures)` of all the nodes' tests; the null checks of a node share a scan."""
+        """Rows `(node, failures)` of all the nodes' tests."""
+        return self._counts(self._tests(names))
+
+    def _counts(self, tests: list[tuple[str, DataTest]]) -> DataFrame | None:
+        """The null and uniqueness tests of a column share one count of its values, and null tests of
+        columns that have no other share one scan of their node."""
         parts = []
-        for name in names:
-            model = self.models[name]
-            frame = self.frame(name) if model.tests else None
-            not_null = [t for t in model.tests if t.kind == "not_null"]
-            if not_null:
-                wide = checks.null_counts(frame, [t.column for t in not_null])
-                cells = [_cell(t.label(name), F.col(t.column)) for t in not_null]
+        for name in dict.fromkeys(n for n, _ in tests):
+            frame, own = self.frame(name), [t for n, t in tests if n == name]
+            unique = {t.column: t for t in own if t.kind == "unique"}
+            not_null = {t.column: t for t in own if t.kind == "not_null"}
+            alone = [c for c in not_null if c not in unique]
+            if alone:
+                wide = checks.null_counts(frame, alone)
+                cells = [_cell(not_null[c].label(name), F.col(c)) for c in alone]
                 parts.append(wide.select(F.inline(F.array(*cells))))
-            for test in model.tests:
-                if test.kind == "unique":
-                    failures = checks.not_unique(frame, test.column).agg(F.count("*").alias("n"))
-                elif test.kind == "relationships":
-                    parent = self.frame(test.to)
-                    failures = checks.orphans(frame, test.column, parent, test.field).agg(
+            for column, test in unique.items():
+                found = checks.value_faults(frame, column)
+                cells = [_cell(test.label(name), F.col("repeated"))]
+                if column in not_null:
+                    cells.append(_cell(not_null[column].label(name), F.col("nulls")))
+                parts.append(found.select(F.inline(F.array(*cells))))
+            for test in own:
+                if test.kind == "relationships":
+                    failures = checks.orphans(frame, test.column, self.frame(test.to), test.field).agg(
                         F.coalesce(F.sum("n"), F.lit(0)).alias("n")
                     )
-                else:
-                    continue
-                parts.append(failures.select(F.inline(F.array(_cell(test.label(name), F.col("n"))))))
+                    parts.append(failures.select(F.inline(F.array(_cell(test.label(name), F.col("n"))))))
         return reduce(DataFrame.unionByName, parts) if parts else None
 
 

@@ -122,6 +122,12 @@ SELECTIONS = [
     ("tag:staging unknown", None, "stg_departments stg_expenditures"),
     ("+dept_budget_summary", "tag:raw stg_departments", "stg_expenditures dept_budget_summary"),
     ("unknown", None, ""),
+    ("tag:staging,+dept_budget_summary", "stg_e*", "stg_departments"),
+    ("1+dept_budget_summary", None, "stg_departments stg_expenditures dept_budget_summary"),
+    ("raw_departments+1", None, "raw_departments stg_departments"),
+    ("@raw_departments", None, "raw_departments raw_expenditures stg_departments stg_expenditures dept_budget_summary"),
+    ("stg_*", None, "stg_departments stg_expenditures"),
+    ("resource_type:seed", None, "raw_departments raw_expenditures"),
 ]
 
 
@@ -170,6 +176,41 @@ def test_failures_block_only_what_needs_them(spark, database):
     assert outcomes(ran)["child"] == "success"
 
 
+def test_unknown_selections_are_told(spark, database):
+    project = budget.budget_project(spark, database, "/nowhere")
+    with pytest.warns(UserWarning, match="nobody"):
+        assert project.selected("nobody stg_departments") == ["stg_departments"]
+    with pytest.raises(ValueError, match="color"):
+        project.selected("color:red")
+
+
+def test_relationships_meet_the_parent_of_this_build(spark, database):
+    known = [1]
+    child = DataTest("relationships", "k", "parents", "id")
+    models = [
+        Model("children", lambda: spark.createDataFrame([(1,), (2,)], "k int"), tests=(child,), stored=True),
+        Model("parents", lambda: spark.createDataFrame([(k,) for k in known], "id int"), stored=True),
+    ]
+    assert outcomes(Project(spark, database, models).build())["relationships_children_k"] == "fail"
+    known.append(2)
+    project = Project(spark, database, models)
+    assert project.order == ["parents", "children"] and project.build().success
+    late = Project(spark, database, [
+        Model("first", lambda: spark.createDataFrame([(1,), (7,)], "k int"), tests=(DataTest("relationships", "k", "second", "k"),)),
+        Model("second", lambda f: f.where("k < 7"), ("first",)),
+        Model("third", lambda s: s, ("second",)),
+    ])
+    report = late.build()
+    assert [r[0] for r in report.rows] == ["first", "second", "relationships_first_k", "third"]
+    assert outcomes(report)["relationships_first_k"] == "fail"
+
+    def broken():
+        raise RuntimeError("no parent today")
+
+    report = Project(spark, database, [models[0], Model("parents", broken)]).build()
+    assert outcomes(report) == {"parents": "error", "children": "success", "relationships_children_k": "skipped"}
+
+
 def test_data_tests_ignore_or_find_nulls(spark):
     frame = spark.createDataFrame([(1, 1), (1, 2), (None, 2), (None, 9), (3, 9)], "k int, parent int")
     assert rows(checks.not_unique(frame, "k")) == [(1, 2)]
