@@ -250,9 +250,17 @@ def _stage(
 def latest_rows(
     batch: DataFrame, keys: Sequence[str], sequence: str = "_seq", extra: Sequence[Column] = ()
 ) -> DataFrame:
-    """The last row per key. A grouped maximum, so a key that fills the batch still combines early."""
+    """The last row per key. A grouped maximum, so a key that fills the batch still combines early.
+
+    Maps have no order; where sequence numbers are equal, their JSON text decides with the other values.
+    """
     values = [c for c in batch.columns if c not in (*keys, sequence)]
-    newest = F.max(F.struct(sequence, *values)).alias("_row")
+    unordered = [f.name for f in batch.schema if f.name in values and "map<" in f.dataType.simpleString()]
+    if unordered:
+        order = [F.to_json(F.struct(c)) if c in unordered else F.col(c) for c in values]
+        newest = F.max_by(F.struct(sequence, *values), F.struct(sequence, *order)).alias("_row")
+    else:
+        newest = F.max(F.struct(sequence, *values)).alias("_row")
     grouped = batch.groupBy(*keys).agg(newest, *extra)
     rest = [c for c in grouped.columns if c not in (*keys, "_row")]
     return grouped.select(*keys, *[F.col(f"_row.{c}") for c in values], *rest)
@@ -294,14 +302,28 @@ def merge(
 def store(spark: SparkSession, name: str, frame: DataFrame) -> DataFrame:
     """Make the frame the table's content, whatever it held before.
 
-    The rows go to a new folder; the table is pointed at it once they are all written.
+    The rows go to a new folder; the table is pointed at it once they are all written. A table with
+    declared rules keeps them: rows that break one or have other columns are refused, and the table
+    stays as it was. A bucketed table takes rows by `insert` and `upsert` alone.
     """
     table = qualified(name)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.split('.', 1)[0]}")
+    kept = spark.catalog.tableExists(table)
+    spec = _spec(spark, table) if kept else _Spec([], [], 0)
+    if spec.buckets:
+        raise ValueError(f"{table} has buckets: truncate it and insert")
+    ruled = bool(spec.keys or spec.required)
+    if ruled and layout(spark.table(table)) != layout(frame):
+        raise ValueError(f"{table} has declared rules and other columns: drop it first")
     folder = _new_folder(spark, table)
     frame.write.parquet(folder)
     columns = ", ".join(f"`{name}` {kind}" for name, kind in layout(frame))
-    kept = spark.catalog.tableExists(table)
+    if ruled:
+        try:
+            _check_batch(spark.read.schema(frame.schema).parquet(folder), spec)
+        except ConstraintError:
+            storage.delete(spark, folder)
+            raise
     if kept and layout(spark.table(table)) == layout(frame):
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
     else:
@@ -350,6 +372,8 @@ def _aligned(
         ]
         ddl = ", ".join(["_seq bigint", *[f"`{n}` {t}" for n, t in zip(names, types, strict=True)]])
         batch, order = spark.createDataFrame(data, ddl), F.col("_seq")
+        nested = [n for n in names if n in schema.names and isinstance(schema[n].dataType, ArrayType | MapType | StructType)]
+        batch = batch.withColumns({n: F.from_json(n, schema[n].dataType, {"mode": "FAILFAST"}) for n in nested})
     unknown = [n for n in names if n not in schema.names]
     if unknown:
         raise ValueError(f"unknown columns: {', '.join(unknown)}")
@@ -361,6 +385,8 @@ def _text(value: Any) -> Any:
         return value
     if isinstance(value, datetime.datetime | datetime.date):
         return value.isoformat()
+    if isinstance(value, Mapping | list | tuple):
+        return json.dumps(value, default=_text)
     return str(value)
 
 
