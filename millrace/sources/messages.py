@@ -1,4 +1,5 @@
-"""JSON messages in and out. A raw message is one row with a single `body` text column."""
+"""JSON messages in and out. A raw message is one row with a `body` text and, from a source that knows
+the order of arrival, its `position`, which settles which of two results of one time is the later."""
 
 from __future__ import annotations
 
@@ -23,21 +24,28 @@ JSON_OPTIONS = {
 
 
 def message_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """A stream of the lines of text files arriving in a folder."""
+    """A stream of the lines of text files arriving in a folder; the position is the file's time in
+    milliseconds, which the lines of a file share."""
     reader = spark.readStream.schema("body string").option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(folder)
+    when = F.unix_millis("_metadata.file_modification_time")
+    return reader.text(folder).select("body", when.alias("position"))
 
 
 def kafka_stream(
     spark: SparkSession, servers: str, topic: str, rows_per_batch: int | None = None
 ) -> DataFrame:
-    """A stream of the values of a topic; needs Spark's Kafka package on the class path."""
+    """A stream of the values of a topic with their offsets; needs Spark's Kafka package on the class path.
+
+    Offsets order the messages of one partition, so results of one step must share a key.
+    """
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
     if rows_per_batch:
         reader = reader.option("maxOffsetsPerTrigger", rows_per_batch)
-    return reader.option("subscribe", topic).load().select(F.col("value").cast("string").alias("body"))
+    return reader.option("subscribe", topic).load().select(
+        F.col("value").cast("string").alias("body"), F.col("offset").alias("position")
+    )
 
 
 def encode(messages: DataFrame, kind: str) -> DataFrame:

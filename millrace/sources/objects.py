@@ -26,7 +26,7 @@ def _files(spark: SparkSession, root: str, prefix: str | None) -> DataFrame:
         if not storage.matches_any(spark, place):
             return spark.createDataFrame([], _NO_FILES)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(place)
-    return files.withColumn("key", F.substring("path", len(base) + 2, 1_000_000))
+    return files.withColumn("key", F.substr("path", F.lit(len(base) + 2)))
 
 
 _NO_FILES = "path string, modificationTime timestamp, length bigint, content binary, key string"

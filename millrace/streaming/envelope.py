@@ -36,7 +36,8 @@ def unwrap(body: Column) -> Column:
 
 
 def decode(raw: DataFrame, kind: str) -> DataFrame:
-    """Typed fields, the raw `body`, and `valid`: the text parsed and every required field is there.
+    """Typed fields, the raw `body` and its `position` if it has one, and `valid`: the text parsed and
+    every required field is there.
 
     A missing correlation id is derived from the message text, so a redelivered message gets the
     same one; a missing timestamp is the batch's time.
@@ -47,7 +48,8 @@ def decode(raw: DataFrame, kind: str) -> DataFrame:
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
     )
     # A generated column: filters on its fields stay above it, so each message is parsed once.
-    parsed = raw.select("body", F.explode(F.array(message)).alias("m"))
+    given = [c for c in ("body", "position") if c in raw.columns]
+    parsed = raw.select(*given, F.explode(F.array(message)).alias("m"))
     valid = F.col("m").isNotNull() & F.col(f"m.{CORRUPT}").isNull()
     for field in _REQUIRED[kind]:
         valid = valid & F.col(f"m.{field}").isNotNull()
@@ -60,7 +62,7 @@ def decode(raw: DataFrame, kind: str) -> DataFrame:
 
     when = F.try_to_timestamp("m.timestamp")
     valid = valid & (F.col("m.timestamp").isNull() | when.isNotNull())
-    out = parsed.select("body", F.coalesce(valid, F.lit(False)).alias("valid"), "m.*").drop(CORRUPT)
+    out = parsed.select(*given, F.coalesce(valid, F.lit(False)).alias("valid"), "m.*").drop(CORRUPT)
     out = out.withColumn(
         "timestamp", F.coalesce(F.try_to_timestamp("timestamp"), F.current_timestamp())
     )

@@ -17,6 +17,16 @@ def _given(column: str) -> Column:
     return F.when(F.size(column) > 0, F.col(column))
 
 
+def _sequence(results: DataFrame) -> Column:
+    """The order of results of one time: by position where the source has one, then by a checksum, so
+    that a replay gives the same order."""
+    mark = F.crc32(F.col("body").cast("binary"))
+    if "position" not in results.columns:
+        return mark
+    # 41 bits hold offsets and milliseconds, 22 are left for the checksum.
+    return F.coalesce(F.shiftleft("position", 22) + F.shiftright(mark, 10), mark)
+
+
 def step_patches(results: DataFrame) -> DataFrame:
     """Patches for the results that belong to a tracked step.
 
@@ -32,7 +42,7 @@ def step_patches(results: DataFrame) -> DataFrame:
         F.when(F.size("errors") > 0, F.array_join("errors", "; ")).alias("error"),
         F.col("timestamp").alias("completed_at"),
         F.col("timestamp").alias("patched_at"),
-        F.crc32(F.col("body").cast("binary")).alias("seq"),
+        _sequence(results).alias("seq"),
         "correlation_id",
     )
 

@@ -226,3 +226,13 @@ def test_tracked_runs(spark, database):
     texts = bad.select(F.to_json(F.struct("*")).alias("body"))
     patch = results.step_patches(envelope.decode(texts, "result").filter("valid")).first()
     assert (patch.step_id, patch.status, patch.error) == ("step", "failed", "no such thing")
+
+
+def test_later_positions_win_at_one_time(spark):
+    texts = [json.dumps(result(status=status)) for status in ("pending", "success", "error")]
+    for order in ([0, 1, 2], [2, 1, 0], [1, 2, 0]):
+        raw = spark.createDataFrame([(texts[k], at) for at, k in enumerate(order)], "body string, position bigint")
+        patches = results.step_patches(envelope.decode(raw, "result"))
+        newest = patches.orderBy(F.desc("seq")).first()
+        assert patches.count() == 3 and patches.select("seq").distinct().count() == 3
+        assert newest.status == ("success" if order[-1] == 1 else "failed")
