@@ -18,6 +18,7 @@ from millrace import schemas
 from millrace.functions.folding import compact, fold
 from millrace.functions.ids import stable_id
 from millrace.functions.skew import salted_join
+from millrace.sources import storage
 
 JOB_FIELDS = (
     "pipeline", "environment", "namespace", "status", "logic_version", "request", "parameters",
@@ -178,14 +179,56 @@ def append_log(patches: DataFrame, folder: str) -> None:
 
     Rows are gathered by day first, into evenly sized files however much a day holds.
     """
+    _write_log(patches, _newest(patches.sparkSession, folder) or f"{folder}/{_GENERATION}{0:08d}", "append")
+
+
+def _write_log(patches: DataFrame, folder: str, mode: str) -> None:
     by_day = patches.withColumn("day", F.to_date("patched_at")).hint("rebalance", "day")
-    by_day.write.mode("append").partitionBy("day").parquet(folder)
+    by_day.write.mode(mode).partitionBy("day").parquet(folder)
+
+
+_GENERATION = "generation-"
+
+
+def _newest(spark: SparkSession, folder: str) -> str | None:
+    """The newest generation of a stored log that was written to its end."""
+    found = [c for c in storage.children(spark, folder) if c.rsplit("/", 1)[-1].startswith(_GENERATION)]
+    done = [c for c in sorted(found) if any(n.endswith("/_SUCCESS") for n in storage.children(spark, c))]
+    return done[-1] if done else None
 
 
 def read_log(spark: SparkSession, folder: str, ddl: str) -> DataFrame:
     """A stored log under the layout of its records (JOB or STEP)."""
     layout = f"{ddl}, op string, patched_at timestamp, seq bigint, day date"
-    return spark.read.schema(layout).parquet(folder).drop("day")
+    place = _newest(spark, folder)
+    if place is None:
+        return spark.createDataFrame([], layout).drop("day")
+    return spark.read.schema(layout).parquet(place).drop("day")
+
+
+def renew_log(spark: SparkSession, folder: str, ddl: str) -> None:
+    """Replace a stored log by the patches that still matter, so that questions fold these and what was
+    added since, not the whole history.
+
+    They go to a new generation, which counts once it is written to its end; a run that dies changes
+    nothing and can be repeated. Run it while nothing is appended. The old generation stays for
+    readers that still use it; `prune_log` deletes it.
+    """
+    place = _newest(spark, folder)
+    if place is None:
+        return
+    shrink = {schemas.JOB: compact_jobs, schemas.STEP: compact_steps}[ddl]
+    number = int(place.rsplit(_GENERATION, 1)[1]) + 1
+    _write_log(shrink(read_log(spark, folder, ddl)), f"{folder}/{_GENERATION}{number:08d}", "overwrite")
+
+
+def prune_log(spark: SparkSession, folder: str) -> list[str]:
+    """Delete the generations before the newest complete one; run it when no reader uses them."""
+    newest = _newest(spark, folder)
+    old = [c for c in storage.children(spark, folder) if newest and c < newest and f"/{_GENERATION}" in c]
+    for place in old:
+        storage.delete(spark, place)
+    return old
 
 
 def unknown_patches(log: DataFrame, key: str) -> DataFrame:

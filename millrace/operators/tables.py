@@ -7,6 +7,9 @@ rows in place and can simply be run again.
 
 A keyed table may be created with `buckets`: rows are then laid out by a hash of the key, and an
 insert or upsert reads and rewrites only the buckets its keys fall into.
+
+Each write leaves a mark of its own in the table properties. A writer that finds another mark than
+the one it started from gives up (`ConflictError`) instead of writing over rows it has not seen.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from millrace.sources import storage
 DEFAULT_DATABASE = "main"
 BUCKET = "key_bucket"
 SPEC = "millrace.spec"
+MARK = "millrace.mark"
 
 Rows = DataFrame | Sequence[Mapping[str, Any]]
 
@@ -37,6 +41,10 @@ class ConstraintError(ValueError):
     """Rows break a key or NOT NULL rule; nothing was written."""
 
 
+class ConflictError(RuntimeError):
+    """Another writer changed the table meanwhile; nothing was written, and the call can be repeated."""
+
+
 @dataclass(frozen=True)
 class ColumnSpec:
     name: str
@@ -92,11 +100,23 @@ def create_table(
 
 
 def _spec(spark: SparkSession, table: str) -> _Spec:
-    rows = spark.sql(f"SHOW TBLPROPERTIES {table}").filter(F.col("key") == SPEC).collect()
-    found = json.loads(rows[0].value) if rows else {}
+    found = json.loads(_property(spark, table, SPEC) or "{}")
     return _Spec(found.get("keys", []), found.get("required", []), found.get("buckets", 0))
 
 
+def _property(spark: SparkSession, table: str, key: str) -> str | None:
+    rows = spark.sql(f"SHOW TBLPROPERTIES {table}").filter(F.col("key") == key).collect()
+    return rows[0].value if rows else None
+
+
+def _claim(spark: SparkSession, table: str, mark: str | None) -> None:
+    """Leave a new mark if the table still has the given one. The metastore cannot compare and set in
+    one step, so two writers that come within that moment of each other are not told apart."""
+    if _property(spark, table, MARK) != mark:
+        raise ConflictError(f"{table} was changed by another writer")
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{MARK}' = '{uuid.uuid4().hex}')")
+
+
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     """The table's own columns, without the layout column."""
     return spark.table(qualified(name)).drop(BUCKET)
@@ -114,7 +134,9 @@ def drop_table(spark: SparkSession, name: str, if_exists: bool = True) -> None:
 
 def truncate(spark: SparkSession, name: str) -> None:
     """Remove all rows and keep the schema."""
-    spark.sql(f"TRUNCATE TABLE {qualified(name)}")
+    table = qualified(name)
+    _claim(spark, table, _property(spark, table, MARK))
+    spark.sql(f"TRUNCATE TABLE {table}")
 
 
 def list_tables(spark: SparkSession, database: str = DEFAULT_DATABASE) -> DataFrame:
@@ -147,19 +169,28 @@ def table_info(spark: SparkSession, name: str) -> TableInfo | None:
 def insert(spark: SparkSession, name: str, rows: Rows) -> int:
     """Append rows, all or none. A repeated or existing key or a missing required value is an error.
 
-    The checks read only the columns they need and nothing is cached; a DataFrame that is costly to
-    compute, or that changes between two reads, is better stored first.
+    The rows are written once next to the table, and checked and inserted from there: what was checked
+    is what is stored, also where the DataFrame gives other rows each time it is computed.
     """
     table = qualified(name)
     spec = _spec(spark, table)
+    mark = _property(spark, table, MARK)
     schema = read_table(spark, table).schema
     batch = _aligned(spark, rows, schema)
     if batch is None:
         return 0
-    found = _check_batch(batch, spec)
-    if spec.keys:
-        _check_new_keys(spark, table, batch, spec, found)
-    _with_bucket(_with_missing_columns(batch, schema), spec).write.insertInto(table)
+    folder = _new_folder(spark, table)
+    try:
+        batch = batch.drop("_seq")
+        batch.write.parquet(folder)
+        batch = spark.read.schema(batch.schema).parquet(folder)
+        found = _check_batch(batch, spec)
+        if spec.keys:
+            _check_new_keys(spark, table, batch, spec, found)
+        _claim(spark, table, mark)
+        _with_bucket(_with_missing_columns(batch, schema), spec).write.insertInto(table)
+    finally:
+        storage.delete(spark, folder)
     return found.rows
 
 
@@ -179,15 +210,16 @@ def upsert(
     spec = _spec(spark, table)
     if spec.keys and sorted(keys) != sorted(spec.keys):
         raise ValueError(f"the table's key is {spec.keys}, not {keys}")
+    mark = _property(spark, table, MARK)
     batch = _aligned(spark, rows, read_table(spark, table).schema, sequence)
     if batch is None:
         return 0
     staged = _stage(spark, table, batch, keys, spec)
     try:
         if spec.buckets:
-            _merge_buckets(spark, table, staged, spec)
+            _merge_buckets(spark, table, staged, spec, mark)
         else:
-            _merge_whole(spark, table, staged, keys, spec)
+            _merge_whole(spark, table, staged, keys, spec, mark)
     finally:
         storage.delete(spark, staged.folder)
     return staged.given
@@ -310,6 +342,7 @@ def store(spark: SparkSession, name: str, frame: DataFrame) -> DataFrame:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.split('.', 1)[0]}")
     kept = spark.catalog.tableExists(table)
     spec = _spec(spark, table) if kept else _Spec([], [], 0)
+    mark = _property(spark, table, MARK) if kept else None
     if spec.buckets:
         raise ValueError(f"{table} has buckets: truncate it and insert")
     ruled = bool(spec.keys or spec.required)
@@ -324,6 +357,8 @@ def store(spark: SparkSession, name: str, frame: DataFrame) -> DataFrame:
         except ConstraintError:
             storage.delete(spark, folder)
             raise
+    if kept:
+        _claim_for(spark, table, mark, folder)
     if kept and layout(spark.table(table)) == layout(frame):
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
     else:
@@ -339,7 +374,7 @@ def layout(frame: DataFrame) -> list[tuple[str, str]]:
 
 
 def prune_versions(spark: SparkSession, name: str) -> list[str]:
-    """Delete data folders the table no longer points at; run it when no reader uses them."""
+    """Delete data folders the table no longer points at; run it when no reader uses them and nobody writes."""
     table = qualified(name)
     used = {_location(spark, table)} | set(_partition_locations(spark, table).values())
     gone = []
@@ -485,12 +520,15 @@ def _touched(batch: DataFrame, spec: _Spec) -> list[int]:
     return sorted(r[0] for r in batch.select(_bucket(spec)).distinct().collect())
 
 
-def _merge_buckets(spark: SparkSession, table: str, staged: _Staged, spec: _Spec) -> None:
+def _merge_buckets(
+    spark: SparkSession, table: str, staged: _Staged, spec: _Spec, mark: str | None
+) -> None:
     """Merge within the touched buckets, then point each of them at its new folder."""
     touched = _touched(staged.rows, spec)
     target = spark.table(table).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
     merged = merge(target, staged.rows, spec.keys, staged.small)
     folder = _write_version(spark, table, _with_bucket(merged, spec), spec)
+    _claim_for(spark, table, mark, folder)
     known = {int(row[0].split("=")[1]) for row in spark.sql(f"SHOW PARTITIONS {table}").collect()}
     for bucket in touched:
         part, place = f"PARTITION ({BUCKET} = {bucket})", f"'{folder}/{BUCKET}={bucket}'"
@@ -502,10 +540,11 @@ def _merge_buckets(spark: SparkSession, table: str, staged: _Staged, spec: _Spec
 
 
 def _merge_whole(
-    spark: SparkSession, table: str, staged: _Staged, keys: Sequence[str], spec: _Spec
+    spark: SparkSession, table: str, staged: _Staged, keys: Sequence[str], spec: _Spec, mark: str | None
 ) -> None:
     merged = merge(spark.table(table), staged.rows, keys, staged.small)
     folder = _write_version(spark, table, merged, spec)
+    _claim_for(spark, table, mark, folder)
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
     spark.catalog.refreshTable(table)
 
@@ -527,6 +566,15 @@ def _write_version(spark: SparkSession, table: str, merged: DataFrame, spec: _Sp
     return folder
 
 
+def _claim_for(spark: SparkSession, table: str, mark: str | None, folder: str) -> None:
+    """Claim the table for the rows in the folder, which goes if another writer was first."""
+    try:
+        _claim(spark, table, mark)
+    except ConflictError:
+        storage.delete(spark, folder)
+        raise
+
+
 def _new_folder(spark: SparkSession, table: str) -> str:
     return f"{_versions_folder(spark, table)}/{uuid.uuid4().hex[:12]}"
 

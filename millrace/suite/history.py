@@ -216,6 +216,16 @@ def r3_compacted_log(spark: SparkSession, folder: str) -> DataFrame:
     return _job_view(registry.current_jobs(older.unionByName(log.filter("seq % 2 <> 0"))))
 
 
+@query("r3_renewed_log", _state_sql())
+def r3_renewed_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the patches stored and the log renewed, the other half added, then folded."""
+    log, place = s.job_log(spark, folder), scratch(spark, "job_log")
+    registry.append_log(log.filter("seq % 2 = 0"), place)
+    registry.renew_log(spark, place, JOB)
+    registry.append_log(log.filter("seq % 2 <> 0"), place)
+    return _job_view(registry.current_jobs(registry.read_log(spark, place, JOB)))
+
+
 @query(
     "r3_unknown_jobs",
     """select 'job-' || (user_id * 20) as job_id, count(*) as patches from events

@@ -148,6 +148,17 @@ def e5_consume_results(spark: SparkSession, folder: str) -> DataFrame:
     return _patch_view(results.stored_patches(_consumed(spark, folder, "consume")))
 
 
+@query("e5_gathered_results", _PATCH_SQL)
+def e5_gathered_results(spark: SparkSession, folder: str) -> DataFrame:
+    """The same patches, with all micro-batches but the newest moved into few files."""
+    queue = _queue(spark, folder, s.result_messages(spark, folder), "gather_queue")
+    stored, gathered = scratch(spark, "gather_stored"), scratch(spark, "gathered")
+    stream = messages.message_stream(spark, queue, files_per_batch=2)
+    results.consume_results(stream, stored, scratch(spark, "gather_checkpoint")).awaitTermination()
+    results.gather_results(spark, stored, gathered)
+    return _patch_view(results.stored_patches(results.read_results(spark, stored, gathered)))
+
+
 @query(
     "e5_outcomes",
     f"""select case when not ({s.READABLE_SQL}) then 'error' when event_id % 10 = 0 then 'skipped'

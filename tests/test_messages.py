@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import shutil
 from pathlib import Path
 
 import pytest
@@ -188,6 +189,50 @@ def test_unknown_steps_are_errors(spark, queue):
     ]
 
 
+def test_known_steps_are_narrowed_before_the_shuffle(spark, tmp_path):
+    known = spark.range(100_000).select(F.concat(F.lit("s"), "id").alias("step_id"))
+    raw = bodies(spark, result(step_id="s1"), result(step_id="s1"), result(step_id="lost"), result(step_id=...), "{")
+    assert rows(results.asked_steps(raw)) == [("lost",), ("s1",)]
+    results.asked_steps(raw).write.parquet(str(tmp_path / "ids"))
+    near = results.narrowed(known, spark.read.schema("step_id string").parquet(str(tmp_path / "ids")))
+    assert rows(near) == [("s1",)]
+    text = near._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
+def test_batches_are_gathered(spark, tmp_path):
+    """The newest batch stays, a call that died before it deleted costs nothing, and rows come once."""
+    queue, stored, gathered = (str(tmp_path / n) for n in ("queue", "stored", "gathered"))
+    Path(queue).mkdir()
+    checkpoint = str(tmp_path / "checkpoint")
+
+    def arrive(*steps):
+        for step in steps:
+            Path(queue, f"{step}.txt").write_text(json.dumps(result(step_id=step)) + "\n{\n")
+        stream = messages.message_stream(spark, queue, files_per_batch=1)
+        results.consume_results(stream, stored, checkpoint).awaitTermination()
+
+    def seen():
+        return rows(results.read_results(spark, stored, gathered).select("batch_id", "outcome", "step_id").orderBy("batch_id"))
+
+    arrive("a", "b", "c")
+    whole = seen()
+    assert len(whole) == 6
+    kept = tmp_path / "copy"
+    shutil.copytree(stored, kept)
+    results.gather_results(spark, stored, gathered)
+    assert seen() == whole
+    assert [len(b) for b in results._batches(spark, stored).values()] == [1]
+    shutil.copytree(kept, stored, dirs_exist_ok=True)
+    assert seen() == whole
+    results.gather_results(spark, stored, gathered)
+    assert seen() == whole and len(results._parts(spark, gathered)) == 1
+    arrive("d", "e")
+    results.gather_results(spark, stored, gathered)
+    assert len(seen()) == 10 and len(results._parts(spark, gathered)) == 2
+    assert [len(b) for b in results._batches(spark, stored).values()] == [1]
+
+
 def test_published_messages_come_back(spark):
     decoded = envelope.decode(bodies(spark, result(handler="query", job_id="j", data={"n": 1})), "result").filter("valid")
     folder = scratch(spark, "published")

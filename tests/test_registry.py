@@ -76,6 +76,34 @@ def test_log_is_stored_by_day_and_compacted(spark):
     assert log.count() == 12
 
 
+def test_log_is_renewed(spark):
+    """Questions fold the patches that matter and what came later, late ones among them."""
+    from millrace.schemas import JOB
+    from millrace.session import scratch
+    from millrace.sources import storage
+
+    place = scratch(spark, "log")
+    registry.renew_log(spark, place, JOB)
+    assert registry.read_log(spark, place, JOB).count() == 0
+    day, update = 86_400, "status string, error string"
+    registry.append_log(created(spark, ("p", "dev", None, "j1"), ("p", "dev", None, "j2")), place)
+    updates = [("j1", day * i, i, "running", None) for i in range(1, 30)]
+    registry.append_log(registry.job_updates(patches(spark, "job_id", update, *updates)), place)
+    before = rows(registry.current_jobs(registry.read_log(spark, place, JOB)))
+    registry.renew_log(spark, place, JOB)
+    log = registry.read_log(spark, place, JOB)
+    assert rows(registry.current_jobs(log)) == before and log.count() < 10
+    late = patches(spark, "job_id", update, ("j1", day * 3, 99, "failed", "late note"), ("j2", day, 5, "success", None))
+    registry.append_log(registry.job_updates(late), place)
+    shown = registry.current_jobs(registry.read_log(spark, place, JOB)).select("job_id", "status", "error")
+    assert rows(shown) == [("j1", "running", "late note"), ("j2", "success", None)]
+    spark.range(1).write.parquet(f"{place}/generation-00000009")
+    (done,) = [c for c in storage.children(spark, f"{place}/generation-00000009") if c.endswith("/_SUCCESS")]
+    storage.delete(spark, done)
+    assert rows(registry.current_jobs(registry.read_log(spark, place, JOB)).select("job_id", "status", "error")) == rows(shown)
+    assert len(registry.prune_log(spark, place)) == 1 and registry.prune_log(spark, place) == []
+
+
 def test_given_times_are_kept(spark):
     given = patches(spark, "job_id", "status string, started_at timestamp, completed_at timestamp", ("j1", 10, 1, "running", None, None))
     given = given.withColumn("started_at", F.timestamp_seconds(F.lit(5)))
