@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, packing, quality_rules, simhash, toxicity
+from millrace.llm import mixing, near_copies, packing, quality_rules, toxicity
 from millrace.llm.common import materialise, table, unused
 
 #: The rarest source is used at most this many times as often as the commonest.
@@ -25,8 +25,8 @@ def rules_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 and more."""
+    return near_copies.keep_one(docs).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
