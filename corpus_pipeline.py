@@ -21,7 +21,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def rules_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The documents that the quality rules keep."""
     trusted = quality_rules.trusted_documents(table(spark, folder, "labels"))
-    return quality_rules.rated(docs, trusted).where("rules.kept").select(*docs.columns)
+    return quality_rules.rated(docs, trusted, evidence=quality_rules.EVIDENCE).where("rules.kept").select(*docs.columns)
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

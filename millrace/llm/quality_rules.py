@@ -3,8 +3,11 @@
 Words and pairs of neighbouring words are hashed to `buckets`. Two multinomials over the buckets are
 counted: a trusted target, the documents labelled good, and the raw corpus, all documents. A
 document's score is the mean over its n-grams of log(target / raw). It is kept if the score reaches the
-threshold, so junk whose n-grams the target rarely has goes, however long it is. Native expressions
-only: arrays and higher-order functions per row, one grouped count over all n-grams.
+threshold, so junk whose n-grams the target rarely has goes, however long it is. The query and the
+pipeline weigh by evidence: a document's own counts are left out on both sides, and `evidence` is added
+to the target's count and to the count that the raw share lets expect, so that buckets of which little is
+known give about 0 however small the target is. Native expressions only: arrays and higher-order
+functions per row, one grouped count over all n-grams.
 """
 
 from __future__ import annotations
@@ -12,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NOT_SPACE, SPACE, let, query, table
+from millrace.llm.common import NOT_SPACE, SPACE, let, query, table, unused
 
 BUCKETS = 1 << 16
 #: Labelled documents at most that make up the trusted target, chosen by the hash of their id.
 TRUSTED = 20_000
 THRESHOLD = -0.15
 SMOOTHING = 1.0
+#: Trusted occurrences that a bucket must let expect before its ratio counts for half or more.
+EVIDENCE = 5.0
 WINDOW = 5
 # The symbols that count as such, and the limits of the base rule.
 SYMBOLS = "[#*$%&|<>]"
@@ -88,8 +93,8 @@ def ngrams(w: Column, buckets: int) -> Column:
     return F.concat(single, pairs)
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, id_column: str, text_column: str, buckets: int) -> DataFrame:
-    """One row with `ratio`, an array of log(target / raw) per bucket.
+def bucket_counts(docs: DataFrame, trusted: DataFrame, id_column: str, text_column: str, buckets: int) -> DataFrame:
+    """One row with `raws`, `targets` and `all`, an array of (bucket, raw, target).
 
     `trusted` holds ids of good documents and must be bounded; the counts cover every document.
     """
@@ -102,12 +107,16 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_column: str, text_column: str
     counts = found.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("good").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     counts = every.join(counts, "bucket", "left").na.fill(0)
-    whole = counts.agg(
+    return counts.agg(
         F.sum("raw").alias("raws"),
         F.sum("target").alias("targets"),
         F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("all"),
     )
 
+
+def ratios(whole: DataFrame, buckets: int) -> DataFrame:
+    """One row with `ratio`, an array of log(target / raw) per bucket."""
+
     def ratio(x: Column) -> Column:
         spread = SMOOTHING * buckets
         target = (x["target"] + SMOOTHING) / (F.col("targets") + spread)
@@ -117,22 +126,57 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_column: str, text_column: str
     return whole.select(F.when(F.col("targets") > 0, F.transform("all", ratio)).alias("ratio"))
 
 
+def weighed(grams: Column, whole: Column, good: Column, evidence: float) -> Column:
+    """The sum over n-grams of log((target + evidence) / (expected + evidence)) without the document's own counts."""
+    size = F.size(grams)
+    targets = whole["targets"] - F.when(good, size).otherwise(0)
+    rate = targets / F.greatest(whole["raws"] - size, F.lit(1))
+
+    def term(x: Column, rate: Column) -> Column:
+        at = F.get(whole["all"], x["bucket"])
+        target = at["target"] - F.when(good, x["n"]).otherwise(0)
+        expected = rate * (at["raw"] - x["n"])
+        return x["total"] + F.when(x["n"] > 0, x["n"] * F.log((target + evidence) / (expected + evidence))).otherwise(0.0)
+
+    def step(x: Column, g: Column, rate: Column) -> Column:
+        return F.when(x["bucket"] == g, state(g, x["n"] + 1, x["total"])).otherwise(state(g, F.lit(1), term(x, rate)))
+
+    def state(bucket: Column, n: Column, total: Column) -> Column:
+        return F.struct(bucket.alias("bucket"), n.cast("int").alias("n"), total.cast("double").alias("total"))
+
+    start = state(F.lit(-1), F.lit(0), F.lit(0.0))
+    return let(
+        rate, lambda r: F.aggregate(F.sort_array(grams), start, lambda x, g: step(x, g, r), lambda x: term(x, r))
+    )
+
+
 def rated(
     docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    buckets: int = BUCKETS, threshold: float = THRESHOLD,
+    buckets: int = BUCKETS, threshold: float = THRESHOLD, evidence: float | None = None,
 ) -> DataFrame:
     """All rows and columns of `docs` and a struct `rules`: base counts, `base_failed`, `score`, `kept`.
 
     A null, empty or blank text has no words and fails the base rule; its score is 0. Without any
     trusted document no ratio is known and the base rule decides alone. Repeated rows count as often
-    as they come; null ids are never trusted. A column `rules` of `docs` is replaced.
+    as they come; null ids are never trusted. A column `rules` of `docs` is replaced. With `evidence` the
+    counts are weighed by it and a document's own ones left out; else the score is the plain ratio.
     """
-    model = ratios(docs, trusted, id_column, text_column, buckets)
-    joined = docs.withColumn("rules", model.scalar())
+    whole = bucket_counts(docs, trusted, id_column, text_column, buckets)
+    (mark,) = unused(docs, "trusted")
+    if evidence is None:
+        joined = docs.withColumn("rules", ratios(whole, buckets).scalar())
+    else:
+        ids = trusted.select(F.col(id_column).alias(mark)).distinct()
+        joined = docs.join(F.broadcast(ids), F.col(id_column) == F.col(mark), "left")
+        joined = joined.withColumn("rules", whole.select(F.struct("raws", "targets", "all")).scalar())
+
+    def sum_of(grams: Column) -> Column:
+        if evidence is None:
+            return F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(F.col("rules"), g))
+        return weighed(grams, F.col("rules"), F.col(mark).isNotNull(), evidence)
 
     def of(w: Column) -> Column:
-        grams = ngrams(w, buckets)
-        total = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(F.col("rules"), g))
+        total = let(ngrams(w, buckets), sum_of)
         count = F.greatest(2 * F.size(w) - 1, F.lit(1))
         parts = F.struct(base(F.col(text_column), w).alias("base"), F.coalesce(total / count, F.lit(0.0)).alias("score"))
         return let(parts, judged)
@@ -151,7 +195,7 @@ def rated(
         )
 
     # One expression, so that a filter on a field that is pushed below computes it once.
-    return joined.withColumn("rules", let(words(F.col(text_column)), of))
+    return joined.withColumn("rules", let(words(F.col(text_column)), of)).drop(mark)
 
 
 def trusted_documents(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -163,5 +207,5 @@ def trusted_documents(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
 @query("op7_hashed_ngram_ratio")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     trusted = trusted_documents(table(spark, folder, "labels"))
-    found = rated(table(spark, folder, "documents").select("doc_id", "text"), trusted)
+    found = rated(table(spark, folder, "documents").select("doc_id", "text"), trusted, evidence=EVIDENCE)
     return found.select("doc_id", "rules.*")
