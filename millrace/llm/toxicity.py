@@ -268,12 +268,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float,
     return float(beta[0]), float(beta[1])
 
 
-def fit(sample: DataFrame, model: CharacterModel) -> Lexicon:
-    """A lexicon from `sample(text, toxic)`, which must be bounded.
+def distinct_rows(sample: DataFrame, model: CharacterModel) -> DataFrame:
+    """`toxic, sketch, held` of `sample(text, toxic)`: the entries of each text, once for each label and set.
 
-    Documents with the same smallest word hash count once, so that copies of one document do not make its
-    words look telling. Without toxic or without other documents the lexicon is empty and the score
-    the share of toxic ones.
+    `sketch` is a 128-bit hash of the whole set, so rows that count as one are equal in all columns and it
+    does not matter which of them stays.
     """
 
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,12 +281,21 @@ def fit(sample: DataFrame, model: CharacterModel) -> Lexicon:
         restorer, cache = Restorer(model), {}
         for batch in batches:
             held = [sorted(held_entries(t, restorer, cache)) for t in batch["text"]]
-            sketch = [min((xxhash.xxh64_intdigest(e) >> 1 for e in h), default=0) for h in held]
+            sketch = [xxhash.xxh3_128_hexdigest("\n".join(h).encode("utf-8", "surrogatepass")) for h in held]
             yield pd.DataFrame({"toxic": batch["toxic"], "sketch": sketch, "held": held})
 
-    rows = sample.mapInPandas(hold, "toxic int, sketch long, held array<string>")
-    rows = materialise(rows, "held").dropDuplicates(["toxic", "sketch"])
-    rows = materialise(rows, "held")
+    rows = sample.mapInPandas(hold, "toxic int, sketch string, held array<string>")
+    return materialise(rows, "held").dropDuplicates(["toxic", "sketch"])
+
+
+def fit(sample: DataFrame, model: CharacterModel) -> Lexicon:
+    """A lexicon from `sample(text, toxic)`, which must be bounded.
+
+    Documents with the same set of entries count once, so that copies of one document do not make its
+    words look telling. Without toxic or without other documents the lexicon is empty and the score
+    the share of toxic ones.
+    """
+    rows = materialise(distinct_rows(sample, model), "held")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     positive, negative = sizes.get(1, 0), sizes.get(0, 0)
     if not positive or not negative:
