@@ -1,4 +1,4 @@
-"""Runs registered queries next to their SQL twins in DuckDB and compares rows and types."""
+"""Rows of frames for comparison, and registered queries next to their SQL twins in DuckDB."""
 
 from __future__ import annotations
 
@@ -56,3 +56,9 @@ def compare(spark, query, sql, folder) -> dict:
 def _diff(got, want):
     a, b = set(map(repr, got)), set(map(repr, want))
     return sorted(a - b)[:2], sorted(b - a)[:2]
+
+
+def rows(frame, *order):
+    """The frame's rows as tuples, sorted by the given columns or by everything."""
+    found = [tuple(r) for r in (frame.orderBy(*order) if order else frame).collect()]
+    return found if order else sorted(found, key=repr)

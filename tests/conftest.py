@@ -16,9 +16,3 @@ def spark():
 @pytest.fixture
 def database(spark):
     return fresh_database(spark, f"t{uuid.uuid4().hex[:6]}")
-
-
-def rows(frame, *order):
-    """The frame's rows as tuples, sorted by the given columns or by everything."""
-    found = [tuple(r) for r in (frame.orderBy(*order) if order else frame).collect()]
-    return found if order else sorted(found, key=repr)

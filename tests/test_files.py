@@ -5,7 +5,7 @@ import json
 from pathlib import Path
 
 import pytest
-from conftest import rows
+from compare import rows
 
 from millrace.operators.manifest import manifest_lineage, read_documents
 from millrace.sources import objects

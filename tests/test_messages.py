@@ -5,7 +5,7 @@ import shutil
 from pathlib import Path
 
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 from millrace.operators import registry

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows
+from compare import rows
 
 from millrace.functions.types import spark_type
 from millrace.operators import sql
