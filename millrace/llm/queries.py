@@ -2,6 +2,7 @@
 
 from millrace.llm import (  # noqa: F401
     embeddings,
+    exact_search,
     licenses,
     mixing,
     packing,
