@@ -12,5 +12,6 @@ from millrace.llm import (  # noqa: F401
     simhash,
     toxicity,
     warc,
+    whitening,
 )
 from millrace.llm.common import ORACLES, QUERIES  # noqa: F401
