@@ -3,6 +3,7 @@
 from millrace.llm import (  # noqa: F401
     embeddings,
     exact_search,
+    lexical_search,
     licenses,
     mixing,
     packing,
