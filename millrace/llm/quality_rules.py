@@ -2,28 +2,30 @@
 
 Words and pairs of neighbouring words are hashed to `buckets`. Two multinomials over the buckets are
 counted: a trusted target, the documents labelled good, and the raw corpus, all documents. A
-document's score is the mean over its n-grams of log(target / raw). It is kept if the score reaches the
-threshold, so junk whose n-grams the target rarely has goes, however long it is. The query and the
-pipeline weigh by evidence: a document's own counts are left out on both sides, and `evidence` is added
-to the target's count and to the count that the raw share lets expect, so that buckets of which little is
-known give about 0 however small the target is. Native expressions only: arrays and higher-order
-functions per row, one grouped count over all n-grams.
+document's score is the mean over its n-grams of log((target + evidence) / (expected + evidence)), where
+`expected` is the count that the raw share lets expect of the target, so buckets of which little is known
+give about 0 however small the target is. Documents fall into folds by their id and each is scored by the
+counts of the other folds, so none vouches for itself or against itself. A document is kept if
+its score reaches the threshold: junk whose n-grams the target rarely has goes, however long it is.
+Native expressions only: the logarithms are one array per fold, and a document's n-grams are looked up there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import NOT_SPACE, SPACE, let, query, table, unused
 
 BUCKETS = 1 << 16
-#: Labelled documents at most that make up the trusted target, chosen by the hash of their id.
-TRUSTED = 20_000
 THRESHOLD = -0.15
-SMOOTHING = 1.0
 #: Trusted occurrences that a bucket must let expect before its ratio counts for half or more.
 EVIDENCE = 5.0
+FOLDS = 5
+#: Trusted ids up to which they are broadcast to the documents (16 MB); more are joined by a shuffle.
+BROADCAST = 1_000_000
 WINDOW = 5
 # The symbols that count as such, and the limits of the base rule.
 SYMBOLS = "[#*$%&|<>]"
@@ -32,19 +34,20 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
 
 
-def window_hashes(w: Column, size: int) -> Column:
-    """Hashes of all windows of `size` words, in order."""
-    starts = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
+def joined(first: Column, second: Column, ahead: int) -> Column:
+    """Hashes of first[i] and second[i + ahead] for all i that have both."""
+    count = F.greatest(F.size(second) - ahead, F.lit(0))
+    return F.zip_with(F.slice(first, 1, count), F.slice(second, ahead + 1, count), lambda a, b: F.xxhash64(a, b))
 
 
-def repeated_words(w: Column, size: int = WINDOW) -> Column:
-    """Words that lie in a window of `size` words found twice or more. Windows are told apart by 64 bits."""
+def repeated_words(single: Column, pairs: Column, size: int = WINDOW) -> Column:
+    """Words that lie in a window of five words found twice or more, from the hashes of words and pairs.
+
+    Windows are told apart by 64 bits.
+    """
 
     def covered(places: Column) -> Column:
         start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
@@ -68,13 +71,13 @@ def repeated_words(w: Column, size: int = WINDOW) -> Column:
             let(ordered, lambda s: covered(places(s)))
         )
 
-    return let(window_hashes(w, size), count)
+    return let(joined(joined(pairs, pairs, 2), single, 4), count)
 
 
-def base(text: Column, w: Column) -> Column:
+def base(text: Column, w: Column, single: Column, pairs: Column) -> Column:
     """Struct of the base counts of a text with words `w`; a null text has none of anything."""
     whole = F.coalesce(text, F.lit(""))
-    chars = F.length(F.regexp_replace(whole, f"{SPACE}+", ""))
+    chars = F.length(F.array_join(w, ""))
     symbols = F.length(whole) - F.length(F.regexp_replace(whole, SYMBOLS, ""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(NOT_SPACE))
     return F.struct(
@@ -82,104 +85,86 @@ def base(text: Column, w: Column) -> Column:
         chars.cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        repeated_words(w).alias("n_repeat_words"),
+        repeated_words(single, pairs).alias("n_repeat_words"),
     )
 
 
-def ngrams(w: Column, buckets: int) -> Column:
-    """Buckets of all words and of all pairs of neighbouring words."""
-    single = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    pairs = F.transform(window_hashes(w, 2), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    return F.concat(single, pairs)
-
-
-def bucket_counts(docs: DataFrame, trusted: DataFrame, id_column: str, text_column: str, buckets: int) -> DataFrame:
-    """One row with `raws`, `targets` and `all`, an array of (bucket, raw, target).
-
-    `trusted` holds ids of good documents and must be bounded; the counts cover every document.
-    """
-    ids = trusted.select(F.col(id_column).alias("trusted_id")).distinct()
-    marked = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(
-        F.broadcast(ids), F.col("id") == F.col("trusted_id"), "left"
-    )
-    grams = let(words(F.col("text")), lambda w: ngrams(w, buckets))
-    found = marked.select(F.col("trusted_id").isNotNull().alias("good"), F.explode(grams).alias("bucket"))
-    counts = found.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("good").alias("target"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    counts = every.join(counts, "bucket", "left").na.fill(0)
-    return counts.agg(
-        F.sum("raw").alias("raws"),
-        F.sum("target").alias("targets"),
-        F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("all"),
-    )
-
+def hashes(w: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """`body` with the hashes of all words and of all pairs of neighbouring words, each computed once."""
+    single = F.transform(w, lambda x: F.xxhash64(x))
+    return let(single, lambda h: let(joined(h, h, 1), lambda pairs: body(h, pairs)))
 
-def ratios(whole: DataFrame, buckets: int) -> DataFrame:
-    """One row with `ratio`, an array of log(target / raw) per bucket."""
 
-    def ratio(x: Column) -> Column:
-        spread = SMOOTHING * buckets
-        target = (x["target"] + SMOOTHING) / (F.col("targets") + spread)
-        raw = (x["raw"] + SMOOTHING) / (F.col("raws") + spread)
-        return F.log(target) - F.log(raw)
+def bucket(value: Column, buckets: int) -> Column:
+    return F.pmod(value, F.lit(buckets)).cast("int")
 
-    return whole.select(F.when(F.col("targets") > 0, F.transform("all", ratio)).alias("ratio"))
 
+def with_folds(docs: DataFrame, trusted: DataFrame, id_column: str, fold: str, good: str, folds: int) -> DataFrame:
+    """`docs` with the fold of each document and whether it is trusted."""
+    ids = trusted.select(F.col(id_column).alias(good)).where(F.col(good).isNotNull()).distinct()
+    if ids.limit(BROADCAST + 1).count() <= BROADCAST:
+        ids = F.broadcast(ids)
+    name = F.col(f"`{id_column}`")
+    marked = docs.join(ids, name == F.col(good), "left")
+    return marked.withColumn(fold, F.pmod(F.xxhash64(name), F.lit(folds)).cast("int")).withColumn(good, F.col(good).isNotNull())
 
-def weighed(grams: Column, whole: Column, good: Column, evidence: float) -> Column:
-    """The sum over n-grams of log((target + evidence) / (expected + evidence)) without the document's own counts."""
-    size = F.size(grams)
-    targets = whole["targets"] - F.when(good, size).otherwise(0)
-    rate = targets / F.greatest(whole["raws"] - size, F.lit(1))
 
-    def term(x: Column, rate: Column) -> Column:
-        at = F.get(whole["all"], x["bucket"])
-        target = at["target"] - F.when(good, x["n"]).otherwise(0)
-        expected = rate * (at["raw"] - x["n"])
-        return x["total"] + F.when(x["n"] > 0, x["n"] * F.log((target + evidence) / (expected + evidence))).otherwise(0.0)
+def ratios(
+    marked: DataFrame, text_column: str, fold: str, good: str, buckets: int, folds: int, evidence: float
+) -> DataFrame:
+    """`fold, ratio`: for each fold the ratio of every bucket by the counts of all other folds.
 
-    def step(x: Column, g: Column, rate: Column) -> Column:
-        return F.when(x["bucket"] == g, state(g, x["n"] + 1, x["total"])).otherwise(state(g, F.lit(1), term(x, rate)))
+    That is `folds` rows of `buckets` numbers each, whatever the size of the corpus.
+    """
+    grams = hashes(words(F.col(f"`{text_column}`")), lambda h, pairs: F.concat(h, pairs))
+    found = marked.select(F.col(fold).alias("fold"), F.col(good).alias("good"), F.explode(grams).alias("hash"))
+    counts = found.groupBy(bucket(F.col("hash"), buckets).alias("bucket"), "fold").agg(
+        F.count("*").alias("raw"), F.count_if("good").alias("target")
+    )
+    others = lambda kind, k: F.coalesce(F.sum(F.when(F.col("fold") != k, F.col(kind))), F.lit(0))
+    kinds = ("raw", "target")
+    counts = counts.groupBy("bucket").agg(*[others(kind, k).alias(f"{kind}{k}") for kind in kinds for k in range(folds)])
+    every = marked.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    counts = every.join(counts, "bucket", "left").na.fill(0)
+    listed = [F.array(*[F.col(f"{kind}{k}") for k in range(folds)]).alias(kind) for kind in kinds]
+    whole = counts.agg(
+        *[F.sum(f"{kind}{k}").alias(f"{kind}{k}") for kind in kinds for k in range(folds)],
+        F.array_sort(F.collect_list(F.struct("bucket", *listed))).alias("all"),
+    )
 
-    def state(bucket: Column, n: Column, total: Column) -> Column:
-        return F.struct(bucket.alias("bucket"), n.cast("int").alias("n"), total.cast("double").alias("total"))
+    def of(k: int) -> Column:
+        rate = F.col(f"target{k}") / F.greatest(f"raw{k}", F.lit(1))
+        return F.transform("all", lambda x: F.log((x["target"][k] + evidence) / (rate * x["raw"][k] + evidence)))
 
-    start = state(F.lit(-1), F.lit(0), F.lit(0.0))
-    return let(
-        rate, lambda r: F.aggregate(F.sort_array(grams), start, lambda x, g: step(x, g, r), lambda x: term(x, r))
-    )
+    return whole.select(F.posexplode(F.array(*[of(k).cast("array<float>") for k in range(folds)])).alias("fold", "ratio"))
 
 
 def rated(
-    docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    buckets: int = BUCKETS, threshold: float = THRESHOLD, evidence: float | None = None,
+    docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", text_column: str = "text", buckets: int = BUCKETS,
+    threshold: float = THRESHOLD, evidence: float = EVIDENCE, folds: int = FOLDS,
 ) -> DataFrame:
     """All rows and columns of `docs` and a struct `rules`: base counts, `base_failed`, `score`, `kept`.
 
     A null, empty or blank text has no words and fails the base rule; its score is 0. Without any
-    trusted document no ratio is known and the base rule decides alone. Repeated rows count as often
-    as they come; null ids are never trusted. A column `rules` of `docs` is replaced. With `evidence` the
-    counts are weighed by it and a document's own ones left out; else the score is the plain ratio.
+    trusted document no ratio is known: all scores are 0 and the base rule decides alone. Repeated rows count
+    as often as they come; null ids are never trusted and share a fold. A text of any length is one row, with arrays as
+    long as its words. A column `rules` of `docs` is replaced. An empty table gives an empty result.
     """
-    whole = bucket_counts(docs, trusted, id_column, text_column, buckets)
-    (mark,) = unused(docs, "trusted")
-    if evidence is None:
-        joined = docs.withColumn("rules", ratios(whole, buckets).scalar())
-    else:
-        ids = trusted.select(F.col(id_column).alias(mark)).distinct()
-        joined = docs.join(F.broadcast(ids), F.col(id_column) == F.col(mark), "left")
-        joined = joined.withColumn("rules", whole.select(F.struct("raws", "targets", "all")).scalar())
-
-    def sum_of(grams: Column) -> Column:
-        if evidence is None:
-            return F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(F.col("rules"), g))
-        return weighed(grams, F.col("rules"), F.col(mark).isNotNull(), evidence)
+    fold, good, own, ratio = unused(docs, "fold", "good", "own", "ratio")
+    marked = with_folds(docs, trusted, id_column, fold, good, folds)
+    known = ratios(marked, text_column, fold, good, buckets, folds, evidence).toDF(own, ratio)
+    marked = docs.withColumn(fold, F.pmod(F.xxhash64(F.col(f"`{id_column}`")), F.lit(folds)).cast("int"))
+    met = marked.join(F.broadcast(known), F.col(fold) == F.col(own))
+    text = F.col(f"`{text_column}`")
 
     def of(w: Column) -> Column:
-        total = let(ngrams(w, buckets), sum_of)
+        return hashes(w, lambda h, pairs: rules(w, h, pairs))
+
+    def rules(w: Column, h: Column, pairs: Column) -> Column:
+        look = lambda start, values: F.aggregate(values, start, lambda a, x: a + F.get(F.col(ratio), bucket(x, buckets)))
         count = F.greatest(2 * F.size(w) - 1, F.lit(1))
-        parts = F.struct(base(F.col(text_column), w).alias("base"), F.coalesce(total / count, F.lit(0.0)).alias("score"))
-        return let(parts, judged)
+        score = look(look(F.lit(0.0), h), pairs) / count
+        return let(F.struct(base(text, w, h, pairs).alias("base"), score.alias("score")), judged)
 
     def judged(x: Column) -> Column:
         counts = x["base"]
@@ -195,17 +180,16 @@ def rated(
         )
 
     # One expression, so that a filter on a field that is pushed below computes it once.
-    return joined.withColumn("rules", let(words(F.col(text_column)), of)).drop(mark)
+    return met.withColumn("rules", let(words(text), of)).drop(fold, own, ratio)
 
 
-def trusted_documents(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """Ids of at most `most` documents labelled good, by the hash of the id."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good."""
+    return labels.where("quality = 1").select("doc_id").distinct()
 
 
 @query("op7_hashed_ngram_ratio")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     trusted = trusted_documents(table(spark, folder, "labels"))
-    found = rated(table(spark, folder, "documents").select("doc_id", "text"), trusted, evidence=EVIDENCE)
+    found = rated(table(spark, folder, "documents").select("doc_id", "text"), trusted)
     return found.select("doc_id", "rules.*")

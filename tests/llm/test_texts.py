@@ -133,26 +133,6 @@ def test_quality_rules_edges(spark, edge_docs, edge_labels, no_docs):
     check_rules(quality_rules.rated(edge_docs, trusted.limit(0)).collect())
 
 
-def test_quality_rules_scores(spark):
-    """The score against counts in plain Python, with the buckets that Spark's hash gives."""
-    folder = "/root/testdata/sf0.001"
-    docs, labels = table(spark, "documents", folder), table(spark, "labels", folder)
-    found = quality_rules.rated(docs, quality_rules.trusted_documents(labels)).collect()
-    check_rules(found)
-    grams = docs.select("doc_id", quality_rules.ngrams(quality_rules.words(F.col("text")), quality_rules.BUCKETS).alias("g"))
-    grams = {r.doc_id: r.g for r in grams.collect()}
-    good = {r.doc_id for r in labels.where("quality = 1").collect()}
-    raw, target = Counter(), Counter()
-    for i, g in grams.items():
-        raw.update(g)
-        target.update(g if i in good else [])
-    b = quality_rules.BUCKETS
-    ratio = lambda x: np.log((target[x] + 1) / (target.total() + b)) - np.log((raw[x] + 1) / (raw.total() + b))
-    for r in found:
-        g = grams[r.doc_id]
-        assert r.rules.score == pytest.approx(sum(map(ratio, g)) / len(g) if g else 0.0, abs=1e-9)
-
-
 def test_quality_rules_keep_the_clean(spark):
     found = quality_rules.op7(spark, FOLDER).join(table(spark, "labels"), "doc_id").where("not base_failed")
     rows = {(r.quality, r.kept): r["count"] for r in found.groupBy("quality", "kept").count().collect()}
