@@ -47,7 +47,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.cache, self.number = _Words(self.encode), struct.Struct("<I").pack
         with open(path, encoding="utf-8") as file:

@@ -49,13 +49,12 @@ def whole_ids(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_word_tokenizer():
     words = packing.WordTokenizer(TOKENIZER)
-    for text in ("It's we'll DON'T, stop.", "a\tb\x1cc  d\n\ne", "É́ é ΑΣ. İstanbul ẞ ß ÿ Ÿ", "...,, a.. b,.", "½ ² 12a3 你好 🙂 K ſ", "<|endoftext|> x"):
+    for text in ("It's we'll DON'T, stop.", "a\tb\x1cc  d\n\ne", "É́ é ΑΣ. İstanbul ẞ ß ÿ Ÿ", "...,, a.. b,.", "½ ² 12a3 你好 🙂 K ſ", "<|endoftext|> x", "a<|endoftext|>b  <|startoftext|>.", "a <|endoftext|\n>", "É<|ENDOFTEXT|> İ<|endoftext|>"):
         assert np.frombuffer(words.ids(text), "<u4").tolist() == whole_ids(text)[:-1], text
 
 
@@ -88,6 +87,8 @@ def test_packing(spark, edge_docs, edge_rows, no_docs):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
     rows = packing.packed(docs, TOKENIZER, keep_ids=True).collect()
     check_pieces(rows, [tuple(r) for r in docs.collect()])
+    tokens, sequences = sum(r.length for r in rows), len({r.sequence_id for r in rows})
+    assert sequences <= math.ceil(tokens / packing.WINDOW) + 1  # hardly any padding
     same = {(r.doc_id, r.start): r for r in packing.op3(spark, FOLDER).collect()}
     assert all(same[r.doc_id, r.start].ids_crc32 == r.ids_crc32 for r in rows) and len(same) == len(rows)
 
