@@ -63,6 +63,58 @@ def test_keys_are_exact(spark, tmp_path):
     assert listed("*") == []
 
 
+def test_empty_and_hidden_objects(spark, tmp_path):
+    """Names that begin with _ or ., and empty bodies, in listing, scan and stat; folders are no objects."""
+    root = Path(tmp_path, "data")
+    bodies = {"empty.txt": b"", "_x": b"1", ".x": b"22", "p/_y/.z": b"", "p/_y/w.bin": bytes(range(256)), ".h/a": b"7", "p/q/r/s/t": b"t"}
+    for name, body in bodies.items():
+        path = Path(root, name)
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(body)
+    Path(root, "nothing", "here").mkdir(parents=True)
+    for spread in (1, 3, 64):  # however many folders the driver walks itself
+        listed = objects.list_objects(spark, str(root), spread=spread)
+        assert rows(listed.select("path", "size"), "path") == sorted((n, len(b)) for n, b in bodies.items())
+        some = objects.list_objects(spark, str(root), "p/_", spread)
+        assert [r.path for r in some.orderBy("path").collect()] == ["p/_y/.z", "p/_y/w.bin"]
+    assert {r.path: bytes(r.body) for r in objects.scan_objects(spark, str(root)).collect()} == bodies
+    assert [r.path for r in objects.scan_objects(spark, str(root), ".").orderBy("path").collect()] == [".h/a", ".x"]
+    asked = [*bodies, "p", "", None, "p/_y/", "p//_y/.z", "../data/_x", "/_x", "no", "_x"]
+    wanted = spark.createDataFrame([(p, n) for n, p in enumerate(asked)], "path string, n long")
+    stats = objects.stat_objects(spark, str(root), wanted)
+    assert stats.columns == ["path", "n", "size", "etag", "last_modified", "found"]
+    found = {r.n: r for r in stats.collect()}
+    times = {r.path: (r.etag, r.last_modified) for r in objects.list_objects(spark, str(root)).collect()}
+    for n, path in enumerate(asked):
+        real = path in bodies
+        assert (found[n].found, found[n].size) == (real, len(bodies[path]) if real else None)
+        assert (found[n].etag, found[n].last_modified) == (times[path] if real else (None, None))
+    assert objects.list_objects(spark, str(Path(tmp_path, "missing"))).count() == 0
+
+
+def test_stat_lists_nothing(spark, store):
+    wanted = spark.createDataFrame([("head/with space.txt",)], "path string")
+    plan = objects.stat_objects(spark, store, wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" not in plan and "binaryFile" not in plan and "Join" not in plan
+    with pytest.raises(ValueError, match="size"):
+        objects.stat_objects(spark, store, wanted.selectExpr("path", "1 as size"))
+
+
+def test_many_objects_of_one_folder_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(objects, "CHUNK", 100)
+    for i in range(60):
+        Path(tmp_path, f"o{i:02d}").write_bytes(b"x" * i)
+    bodies = objects.scan_objects(spark, str(tmp_path))
+    assert sorted((r.path, r.size) for r in bodies.collect()) == [(f"o{i:02d}", i) for i in range(60)]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert bodies.rdd.getNumPartitions() == tasks > 1
+
+
+def test_roots():
+    assert objects.open_store("file:/a b/c%20d/")[1] == "/a b/c%20d"
+    assert objects.open_store("/x/y")[1] == "/x/y" and objects.open_store("file:///x")[1] == "/x"
+
+
 def node(kind, relation, *needs):
     return {"resource_type": kind, "relation_name": relation, "depends_on": {"nodes": list(needs)}}
 
