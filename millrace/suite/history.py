@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from millrace.operators import catalog, lineage, registry
 from millrace.schemas import JOB
 from millrace.session import scratch
+from millrace.streaming import state
 from millrace.suite import standins as s
-from millrace.suite.base import query, table
+from millrace.suite.base import fresh_database, query, table
 
 
 def _us(column: str):
@@ -226,6 +227,23 @@ def r3_renewed_log(spark: SparkSession, folder: str) -> DataFrame:
     return _job_view(registry.current_jobs(registry.read_log(spark, place, JOB)))
 
 
+@query("r3_streamed_state", _state_sql())
+def r3_streamed_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The patches as a stream in three batches, their states kept batch by batch; no fold of the log."""
+    place, name = scratch(spark, "patch_stream"), fresh_database(spark, "state")
+    log = s.job_log(spark, folder)
+    log.repartition(3, "seq").write.parquet(place)
+    fields, entries = f"{name}.job_fields", f"{name}.job_entries"
+    patches = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(place)
+    running = [
+        state.keep(state.field_states(patches, "job_id", registry.JOB_FIELDS), fields, scratch(spark, "fields_checkpoint")),
+        state.keep(state.entry_states(patches, "job_id"), entries, scratch(spark, "entries_checkpoint")),
+    ]
+    for stream in running:
+        stream.awaitTermination()
+    return _job_view(state.current(spark, fields, entries, "job_id"))
+
+
 @query(
     "r3_unknown_jobs",
     """select 'job-' || (user_id * 20) as job_id, count(*) as patches from events

@@ -10,7 +10,7 @@ from millrace.operators.runs import Context, data_ref, tracked, tracked_write
 from millrace.operators.sql import execution_record
 from millrace.session import scratch
 from millrace.sources import messages, objects
-from millrace.streaming import envelope, events, results
+from millrace.streaming import distinct, envelope, events, results
 from millrace.suite import standins as s
 from millrace.suite.base import fresh_database, query, table
 
@@ -174,6 +174,39 @@ def e5_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return stored.groupBy("outcome", "reason").agg(F.count("*").alias("n"))
 
 
+_LATE_SQL = "event_id % 7 = 0 and ts < timestamp '2024-01-06'"
+
+
+@query(
+    "e5_distinct_results",
+    f"""select 'c-' || event_id as correlation_id, case when event_type = 'purchase' then 'success'
+            when event_type = 'signup' then 'pending' else 'error' end as status, {_LATE_SQL} as late
+        from events where {s.READABLE_SQL}""",
+)
+def e5_distinct_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Deliveries that come again are dropped; messages that come weeks too late are kept apart."""
+    sent, place = s.result_messages(spark, folder), scratch(spark, "again_queue")
+    number = F.substring_index("correlation_id", "-", -1).cast("bigint")
+    late = (number % 7 == 0) & (F.col("timestamp") < "2024-01-06")
+    day = F.substring("timestamp", 1, 10)
+    arrivals = [
+        ~late & (day < "2024-01-20"),
+        (day >= "2024-01-20") | (day == "2024-01-19"),  # that day's messages once more
+        late | (day >= "2024-01-30"),
+    ]
+    for n, some in enumerate(arrivals):
+        s.bodies(sent.filter(some)).coalesce(1).write.text(f"{place}/{n}")
+    stored, once = scratch(spark, "again_stored"), scratch(spark, "again_once")
+    results.consume_results(
+        messages.message_stream(spark, place, files_per_batch=1), stored, scratch(spark, "again_checkpoint")
+    ).awaitTermination()
+    distinct.store_distinct(
+        messages.message_stream(spark, place, files_per_batch=1), once, scratch(spark, "once_checkpoint")
+    ).awaitTermination()
+    found = distinct.all_results(spark.read.parquet(stored), spark.read.parquet(once))
+    return found.select("correlation_id", "status", "late")
+
+
 @query(
     "e5_steps_after_results",
     f"""select 'step-' || event_id as step_id, 'job-' || user_id as job_id,
