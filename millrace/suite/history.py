@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import catalog, lineage, registry
+from millrace.operators import catalog, indexes, lineage, registry
 from millrace.schemas import JOB
 from millrace.session import scratch
 from millrace.streaming import state
@@ -84,6 +84,18 @@ def c4_search(spark: SparkSession, folder: str) -> DataFrame:
     return _asset_view(catalog.search(_assets(spark, folder), query="E", asset_type="economy"))
 
 
+@query(
+    "c4_indexed_search",
+    f"""select {_ASSET_VIEW_SQL} from ({s.ASSETS_SQL}) where contains(lower(name), 'size 1')
+        or contains(lower(description), 'size 1')""",
+)
+def c4_indexed_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Text found through its three-letter pieces."""
+    assets, name = _assets(spark, folder), f"{fresh_database(spark, 'pieces')}.pieces"
+    indexes.index_text(assets, name, 16)
+    return _asset_view(indexes.search_indexed(assets, name, "SIZE 1"))
+
+
 @query(
     "c4_search_tags",
     f"""select {_ASSET_VIEW_SQL} from ({s.ASSETS_SQL}) where 'size_1' in (tag1, tag2)""",
@@ -202,6 +214,22 @@ def r2_get_job(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "r2_bucketed_get",
+    f"""select w.job_id, a.job_id is not null as found, a.status, a.pipeline from
+        (select 'job-' || unnest([3, 7, 20, 999999]) as job_id) w left join ({_state_sql()}) a on w.job_id = a.job_id""",
+)
+def r2_bucketed_get(spark: SparkSession, folder: str) -> DataFrame:
+    """The log in buckets of its key, added in two goes; four ids read four buckets at most."""
+    log, name = s.job_log(spark, folder), f"{fresh_database(spark, 'buckets')}.job_log"
+    for half in (0, 1):
+        indexes.keep_bucketed(log.filter(F.pmod("seq", F.lit(2)) == half), name, "job_id", 16)
+    ids = [f"job-{n}" for n in (3, 7, 20, 999999)]
+    jobs = registry.current_jobs(indexes.of_ids(spark, name, "job_id", ids))
+    wanted = spark.createDataFrame([(i,) for i in ids], "job_id string")
+    return registry.get_by_id(jobs, wanted, "job_id").select("job_id", "found", "status", "pipeline")
+
+
 @query("r3_update_job", _state_sql())
 def r3_update_job(spark: SparkSession, folder: str) -> DataFrame:
     return _job_view(s.jobs(spark, folder))
@@ -480,6 +508,28 @@ def r11_lineage_both(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "r11_indexed_lineage",
+    f"""with e as (select 'consumer' as role, 'main.t' || (k % 10) as location, * from ({s.STEPS_SQL})
+                   union select 'consumer', 'main.t' || (k % 7), * from ({s.STEPS_SQL}))
+        select e.location, e.role, e.step_id from e join ({s.JOBS_SQL}) j on e.job_id = j.job_id
+        where j.environment = 'dev' and e.location in (select 'main.t' || s_nationkey from supplier)""",
+)
+def r11_indexed_lineage(spark: SparkSession, folder: str) -> DataFrame:
+    """The same question through the location index and a step log in buckets."""
+    name = fresh_database(spark, "places")
+    steps = s.steps(spark, folder).withColumn("half", F.crc32(F.col("step_id").cast("binary")) % 2)
+    for half in (0, 1):
+        some = steps.filter(F.col("half") == half).drop("half")
+        indexes.index_locations(some, f"{name}.locations")
+        indexes.keep_bucketed(some, f"{name}.steps", "step_id", 16)
+    wanted = table(spark, folder, "supplier").select(F.concat(F.lit("main.t"), F.col("s_nationkey").cast("string")).alias("location"))
+    ids = indexes.steps_naming(spark, f"{name}.locations", wanted, "consumers")
+    kept = spark.table(f"{name}.steps").join(ids, "step_id", "left_semi")
+    found = lineage.lineage(kept, s.created_jobs(spark, folder), wanted, "consumers", "dev")
+    return found.select("role", "location", "step_id")
+
+
 @query(
     "r11_lineage_wanted",
     f"""with e as (select 'consumer' as role, 'main.t' || (k % 10) as location, * from ({s.STEPS_SQL})
