@@ -1,11 +1,12 @@
 """License scans by diagonal voting over word k-grams.
 
 The hashes of all rolling word k-grams of all documents are joined to those of the license notices
-below, whose number is fixed. A hit at word i of the document and word j of a notice votes for the
-diagonal i - j. Votes are counted per document, notice and diagonal; diagonals that are at most `gap`
-apart are merged, since a word put in or left out shifts the rest. Every hit's words are compared with the
-notice's, and a span counts if they cover `coverage` of the notice and at least half of the words that no
-notice of another license has, such as `lesser`. Native expressions only.
+below, whose number is fixed; hashes that no notice has are left out while they are still in the row. A hit at
+word i of the document and word j of a notice votes for the diagonal i - j. Votes are counted per
+document, notice and diagonal; diagonals that are at most `gap` apart are merged, since a word put in or
+left out shifts the rest. Every hit's words are compared with the notice's, and a span counts if its hits cover
+`coverage` of the notice's words, each counted once, and at least half of the words that no notice of another
+license has, such as `lesser`. Notices have any length. Native expressions only.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ PHRASES = (
     ("general public license", "gpl"),
 )
 
-# Common notices, as lower-case words; at most 62 words each.
+# Common notices, as lower-case words; the paragraphs of longer texts one by one.
 NOTICES = (
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
@@ -47,6 +48,18 @@ NOTICES = (
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced"),
 )
 
@@ -100,16 +113,16 @@ def base(w: Column) -> Column:
 
 
 def notice_grams(spark: SparkSession, notices=NOTICES, size: int = GRAM) -> DataFrame:
-    """`gram_hash, gram, notice, label, place, n, own`: every k-gram of every notice; `own` has the bits of
+    """`gram_hash, gram, notice, label, place, n, own`: every k-gram of every notice; `own` lists the places of
     the words that only notices of this license have."""
     rows = []
     for number, (label, text) in enumerate(notices):
         parts = text.split(" ")
         others = {w for name, other in notices if name != label for w in other.split(" ")}
-        own = sum(1 << j for j, w in enumerate(parts) if w not in others)
+        own = [j for j, w in enumerate(parts) if w not in others]
         for j in range(len(parts) - size + 1):
             rows.append((" ".join(parts[j : j + size]), number, label, j, len(parts), own))
-    grams = spark.createDataFrame(rows, "gram string, notice int, label string, place int, n int, own long")
+    grams = spark.createDataFrame(rows, "gram string, notice int, label string, place int, n int, own array<int>")
     parts = F.split("gram", " ")
     return grams.withColumn("gram_hash", F.xxhash64(*[F.get(parts, F.lit(k)) for k in range(size)]))
 
@@ -119,41 +132,41 @@ def spans(
 ) -> DataFrame:
     """`doc_id, text_hash, label, notice, first_word, last_word, votes, covered`: verified spans.
 
-    `docs` has doc_id and text; rows that repeat both give their spans once.
+    `docs` has doc_id and text; rows that repeat both give their spans once. Texts and notices have any length.
+    A null or empty text has no spans, and neither has a notice of fewer than `size` words.
     """
-    starts = lambda w: F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(
-        F.array().cast("array<int>")
-    )
-    hashes = let(
-        words(F.col("text")),
-        lambda w: F.transform(starts(w), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)])),
-    )
-    rolled = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"), hashes.alias("hashes"))
-    rolled = rolled.select("doc_id", "text_hash", "words", F.posexplode("hashes").alias("i", "h"))
-    hits = rolled.join(F.broadcast(notice_grams(docs.sparkSession, notices, size)), F.col("h") == F.col("gram_hash"))
-    hits = hits.where(F.concat_ws(" ", F.slice("words", F.col("i") + 1, size)) == F.col("gram"))
-    seen = F.expr(f"shiftleft({(1 << size) - 1}L, place)")
+    grams = notice_grams(docs.sparkSession, notices, size)
+    known = [r[0] for r in grams.select("gram_hash").distinct().collect()]  # as many as the notices have words
+
+    def rolled(w: Column) -> Column:
+        none = F.array().cast("array<int>")
+        starts = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(none)
+        hashed = F.transform(
+            starts, lambda i: F.struct(i.alias("i"), F.xxhash64(*[F.get(w, i + k) for k in range(size)]).alias("h"))
+        )
+        met = F.filter(hashed, lambda x: x["h"].isin(known))
+        said = lambda x: F.concat_ws(" ", F.slice(w, x["i"] + 1, size))
+        return F.transform(met, lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h"), said(x).alias("said")))
+
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(let(words(F.col("text")), rolled)))
+    hits = found.join(F.broadcast(grams), (F.col("h") == F.col("gram_hash")) & (F.col("said") == F.col("gram")))
     key = ["doc_id", "text_hash", "notice", "label", "n", "own"]
-    diagonals = hits.select(*key, (F.col("i") - F.col("place")).alias("diagonal"), "i", seen.alias("seen"))
-    diagonals = diagonals.groupBy(*key, "diagonal").agg(
-        F.count("*").alias("votes"),
-        F.min("i").alias("first_word"),
-        (F.max("i") + size - 1).alias("last_word"),
-        F.bit_or("seen").alias("seen"),
-    )
-    along = Window.partitionBy(*key).orderBy("diagonal")
+    hits = hits.select(*key, (F.col("i") - F.col("place")).alias("diagonal"), "i", "place").distinct()
+    along = Window.partitionBy(*key).orderBy("diagonal", "i")
     fresh = F.col("diagonal") - F.lag("diagonal").over(along) > gap
-    merged = diagonals.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int"))
+    merged = hits.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int"))
     merged = merged.withColumn("cluster", F.sum("fresh").over(along))
+    # A set of places is at most as long as its notice.
     found = merged.groupBy(*key, "cluster").agg(
-        F.sum("votes").alias("votes"),
-        F.min("first_word").alias("first_word"),
-        F.max("last_word").alias("last_word"),
-        F.bit_or("seen").alias("seen"),
+        F.count("*").alias("votes"),
+        F.min("i").alias("first_word"),
+        (F.max("i") + size - 1).alias("last_word"),
+        F.collect_set("place").alias("starts"),
     )
-    found = found.withColumn("covered", F.bit_count("seen") / F.col("n"))
-    telling = 2 * F.bit_count(F.col("seen").bitwiseAND(F.col("own"))) >= F.bit_count("own")
-    return found.where((F.col("covered") >= coverage) & telling).drop("n", "own", "seen", "cluster")
+    places = F.array_distinct(F.flatten(F.transform("starts", lambda j: F.sequence(j, j + size - 1))))
+    found = found.withColumn("places", places).withColumn("covered", F.size("places") / F.col("n"))
+    telling = 2 * F.size(F.array_intersect("places", "own")) >= F.size("own")
+    return found.where((F.col("covered") >= coverage) & telling).drop("n", "own", "starts", "places", "cluster")
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
