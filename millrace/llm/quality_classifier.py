@@ -162,7 +162,8 @@ def rated(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
 
     Null, empty and blank texts have statistics of zero and are scored like any other. Null ids and
     labels other than 0 and 1 teach nothing; repeated rows are scored alike. Without labels, or
-    with one class alone, every score is the prior. An empty table gives an empty result.
+    with one class alone, every score is the prior. Texts are measured whole, whatever their length. A column that
+    has the name already is replaced. An empty table gives an empty result.
     """
     short_batches(docs)
     return scored(docs, fit(labelled(docs, labels, "quality", 4, 2, FIT)), name=name)

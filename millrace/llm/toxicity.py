@@ -1,9 +1,10 @@
 """Toxicity: noisy-channel deobfuscation, then a lexicon score of the restored text.
 
 A character language model over 27 symbols (a to z, and the break between words) is counted over
-all documents. Words that look disguised (leetspeak, signs between letters, letters three times in
-a row, single letters with blanks between) become a lattice of readings, of which Viterbi search takes the
-likeliest under the model. All other words are their own only reading. The lexicon is learned from
+all documents. Words that can be disguised (digits and signs that stand for letters, signs between or around
+letters, doubled letters, single letters with blanks between) become a lattice of readings, the plain one
+among them, of which Viterbi search takes the likeliest under the model. All other words, and words with letters that the
+model has no symbol for, are their own only reading. The lexicon is learned from
 labelled documents: words, word beginnings, and beginnings that several words share, which toxic
 documents have and others lack, chosen one after another so that every toxic document is covered a few times. A document's evidence is the sum of the
 weights of the entries it holds, and a logistic curve turns it into a score.
@@ -39,9 +40,13 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
     "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
 }
-EDGE = ".,;:!?\"'()[]{}<>*#%&|~`-_=+/\\^«»“”„’…¿¡"
-RUN = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:\s(?:[^\W_]|[@$!|+])){2,}(?=[.,;:!?)]*(?:\s|$))")
-TRIPLE = re.compile(r"(.)\1\1")
+#: Signs at the edge of a word that stand for no letter.
+EDGE = ".,;:?\"'()[]{}<>*#%&~`-_=/\\^«»“”„’…¿¡"
+#: Costs of leaving out a letter of two equal ones, of reading a digit or a sign as no letter, and of an
+#: exclamation mark, or a sign three times and more, that ends a word as no letter.
+ONE_OF_TWO, NO_LETTER, MARK = 7.0, 3.0, 0.3
+RUN = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:\s+(?:[^\W_]|[@$!|+])){2,}(?=[.,;:!?)]*(?:\s|$))")
+DOUBLE = re.compile(r"(.)\1")
 
 
 def _codes() -> np.ndarray:
@@ -127,12 +132,15 @@ def lattice(text: str, codes: np.ndarray) -> list[list[tuple[tuple[int, ...], fl
     for run in re.finditer(r"(.)\1*", text, re.DOTALL):
         c, n = run[1], len(run[0])
         if c in LEET:
-            options = [((ord(x) - 96,) * k, 0.5 * k) for x in LEET[c] for k in {1, min(n, 2)}]
-            options.append(((0,), 2.0))
-            if not c.isdigit():
-                options.append(((), 2.0))
+            fewer = ONE_OF_TWO if n == 2 else 0.0
+            options = [((ord(x) - 96,) * k, 0.5 * k + (fewer if k == 1 else 0.0)) for x in LEET[c] for k in {1, min(n, 2)}]
+            ends = run.end() == len(text) and (c == "!" or (n > 2 and not c.isdigit()))
+            cost = MARK if ends else NO_LETTER * min(n, 2)
+            options.append(((0,), cost))
+            if not c.isdigit() and not ends:
+                options.append(((), cost))
         elif (y := int(encode(c, codes)[0]) if len(c.lower()) == 1 else 0) > 0:
-            options = [((y,), 0.0 if n == 1 else 0.3)] + ([((y, y), 0.0)] if n > 1 else [])
+            options = [((y,), (0.0, ONE_OF_TWO, 0.3)[min(n, 3) - 1])] + ([((y, y), 0.0)] if n > 1 else [])
         else:
             options = [((), 0.7), ((0,), 1.0)]
         steps.append(options)
@@ -152,29 +160,28 @@ class Restorer:
     def word(self, raw: str) -> tuple[str, ...]:
         """Readings of one raw lower-case word: itself, or what the lattice restores."""
         core = raw.strip(EDGE)
-        if core.endswith("$$"):
-            core = core.rstrip("$").strip(EDGE)
         if not core:
             return ()
-        if core.isalpha():
-            return self.read(core) if TRIPLE.search(core) else (core,)
-        letters = sum(map(str.isalpha, core))
-        if not letters:
+        letters = [c for c in core if c.isalpha()]
+        if len(letters) == len(core) and not DOUBLE.search(core):
+            return (core,)
+        if not letters and not any(c in LEET for c in core):
             return ()
-        if len(core) <= 3 * letters:
-            return self.read(core)
-        return tuple(re.findall(r"[^\W\d_]+", core))
+        if any(len(c.lower()) > 1 or not encode(c, self.codes)[0] for c in letters):
+            return tuple(re.findall(r"[^\W\d_]+", core))
+        found = self.read(core)
+        return (core,) if len(letters) == len(core) == sum(map(len, found)) else found
 
     def spaced(self, text: str) -> list[str]:
         """Words restored from three and more single characters with blanks between."""
         found: list[str] = []
         for run in RUN.finditer(text):
-            found += self.read(re.sub(r"\s", " ", run[0]))
+            found += self.read(re.sub(r"\s+", " ", run[0]))
         return found
 
     def text(self, text: str) -> str:
         """The whole text restored, words separated by blanks."""
-        low = RUN.sub(lambda m: " ".join(self.read(re.sub(r"\s", " ", m[0]))), text.lower())
+        low = RUN.sub(lambda m: " ".join(self.read(re.sub(r"\s+", " ", m[0]))), text.lower())
         return " ".join(w for raw in low.split() for w in self.word(raw))
 
 
@@ -348,12 +355,23 @@ def scored(docs: DataFrame, model: CharacterModel, lexicon: Lexicon, text_column
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, of: int, remainder: int, most: int) -> DataFrame:
-    """`text` and the label of at most `most` labelled documents outside the held-out part."""
+    """`text` and the label of at most `most` labelled documents outside the held-out part.
+
+    Rows that repeat an id, a text and a label count once; of an id with several texts or labels each counts.
+    The bound holds for the rows that are returned, whatever is repeated: they are picked by id and checksum of the
+    text, and only the texts of picked ones are read.
+    """
     known = labels.where(f"{column} in (0, 1) and doc_id is not null").where(~held_out("doc_id", of, remainder))
-    known = known.select("doc_id", column).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", column).limit(most)
-    known = known.withColumnRenamed("doc_id", "label_id")
+    known = known.select(F.col("doc_id").alias("label_id"), F.col(column).cast("int").alias("label")).distinct()
+    known = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(most)
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")
     rows = docs.select("doc_id", "text")
-    return rows.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("text", F.col(column).cast("int"))
+    found = rows.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("label_id", "label", digest)
+    order = [F.xxhash64("label_id"), "label_id", "digest", "label"]
+    picked = materialise(found.distinct().orderBy(*order).limit(most), "picked")
+    same = [F.col("doc_id") == F.col("label_id"), digest == F.col("digest")]
+    texts = rows.join(F.broadcast(picked), same).dropDuplicates(["label_id", "digest", "label"])
+    return texts.select("text", F.col("label").alias(column))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[CharacterModel, Lexicon]:
@@ -368,7 +386,8 @@ def rated(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     """All rows and columns of `docs(doc_id, text, ...)` with a toxicity score named `name`.
 
     Null, empty and blank texts hold no entry and get the score of that. Null ids and labels other than
-    0 and 1 teach nothing; repeated rows are scored alike. An empty table gives an empty result.
+    0 and 1 teach nothing; repeated rows are scored alike. Texts are scored whole, whatever their length. A column
+    that has the name already is replaced. An empty table gives an empty result.
     """
     model, lexicon = learn(docs, labels)
     return scored(docs, model, lexicon, name=name)

@@ -17,3 +17,14 @@ def test_only_equal_sets_of_entries_count_once(spark):
     held = {(toxic, frozenset(toxicity.held_entries(t, toxicity.Restorer(model), {}))) for t, toxic in rows}
     assert len(held) == 102
     assert sorted((r.toxic, sorted(r.held)) for r in found) == sorted((t, sorted(h)) for t, h in held)
+
+
+def test_the_bound_is_on_the_rows_that_are_read(spark):
+    docs = [(7, f"text {i}", "x") for i in range(40)] + [(7, "text 0", "x")] * 20 + [(8, None, "x"), (8, "", "x"), (None, "text", "x")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, digest string")
+    labels = spark.createDataFrame([(7, 1), (7, 1), (8, 0), (9, 1), (None, 1), (10, None)], "doc_id long, toxic int")
+    found = [(r.text or "", r.toxic) for r in toxicity.labelled(docs, labels, "toxic", 5, 9, 100).collect()]
+    assert sorted(found) == sorted([(f"text {i}", 1) for i in range(40)] + [("", 0)])
+    few = [(r.text or "", r.toxic) for r in toxicity.labelled(docs, labels, "toxic", 5, 9, 10).collect()]
+    assert len(few) == len(set(few)) == 10 and set(few) <= set(found)
+    assert toxicity.labelled(docs, labels.limit(0), "toxic", 5, 9, 10).count() == 0

@@ -65,6 +65,22 @@ def test_restored_words(model):
     assert read.text("You are an I D I O T, l00000ser") == "you are an idiot loser"
     assert read.word("loooooser") == ("loser",)
     assert "".join(read.word("-".join("the" * 40))) == "the" * 40
+    for raw in ("1d1075", "!d!0t", "iiddiioott", "i---d---i---o---t", "idiot!!!", "idi0t$$$"):
+        assert read.word(raw)[0].startswith("idiot"), raw
+    assert read.word("stuupid") == ("stupid",) and read.word("|oser") == ("loser",)
+    assert read.text("i  d  i  o  t") == read.text("i\nd i  o t") == "idiot"
+    for plain in ("good", "all", "касса", "café"):
+        assert read.word(plain) == (plain,)
+    assert read.word("2019") == read.word("$100") == read.word("+-") == () and read.word("the$$$") == ("the",)
+    assert read.word("你好1") == ("你好",)
+
+
+def test_the_model_weighs_edge_signs(spark):
+    text = "what an ass he is a dumbass and an asshole who talks shit " * 50 + "the cat sat on a mat " * 20
+    grams = toxicity.character_counts(spark.createDataFrame([(text,)], "text string")).toPandas()
+    read = toxicity.Restorer(toxicity.CharacterModel(grams["gram"].to_numpy(), grams["n"].to_numpy(float)))
+    assert read.word("dumba$$") == ("dumbass",) and read.word("a$$") == ("ass",) and read.word("455h013") == ("asshole",)
+    assert read.word("s---h---i---t") == ("shit",) and read.word("the$$$") == ("the",) and read.word("cat$") == ("cat",)
 
 
 def test_toxicity_edges(spark, edge_docs, edge_labels, no_docs):
@@ -73,6 +89,8 @@ def test_toxicity_edges(spark, edge_docs, edge_labels, no_docs):
     assert found.where("rated is null or rated < 0 or rated > 1").count() == 0
     blank = {r.rated for r in found.where("text is null or trim(text) = ''").collect()}
     assert len(blank) == 1
+    named = toxicity.rated(edge_docs, edge_labels)
+    assert sorted(named.columns) == sorted(edge_docs.columns) and named.where("score is null").count() == 0
     assert toxicity.rated(no_docs, edge_labels, "rated").count() == 0
     alone = toxicity.rated(edge_docs, edge_labels.limit(0), "rated")
     assert alone.where("rated > 0.5").count() == 0
@@ -215,6 +233,8 @@ def test_statistics_and_trees(spark):
 def test_classifier_edges(spark, edge_docs, edge_labels, no_docs):
     found = quality_classifier.rated(edge_docs, edge_labels, "rated")
     assert found.count() == edge_docs.count() and found.where("rated is null").count() == 0
+    named = quality_classifier.rated(edge_docs, edge_labels)
+    assert sorted(named.columns) == sorted(edge_docs.columns) and named.where("score is null").count() == 0
     assert quality_classifier.rated(no_docs, edge_labels, "rated").count() == 0
     assert quality_classifier.rated(edge_docs, edge_labels.limit(0), "rated").where("rated <> 0.5").count() == 0
 
