@@ -260,7 +260,8 @@ def test_pipeline(spark):
     ids = [{r.doc_id for r in f.collect()} for f in stages]
     scores = toxicity.rated(docs, labels, "rated").collect()
     assert ids[0] == {r.doc_id for r in scores if r.rated < 0.5}
-    rules = quality_rules.rated(stages[0], quality_rules.trusted_documents(labels)).collect()
+    trusted = quality_rules.trusted_documents(labels)
+    rules = quality_rules.rated(stages[0], trusted, evidence=quality_rules.EVIDENCE).collect()
     assert ids[1] == {r.doc_id for r in rules if r.rules.kept} and stages[1].count() == len(ids[1])
     assert ids[2] == plain_survivors(stages[1].collect()) and stages[2].count() == len(ids[2])
     assert ids[3] == ids[2] and ids[4] == ids[2]
