@@ -4,7 +4,9 @@ Two texts are near copies if the sets of their five-word shingles have a Jaccard
 more. Each text has `BANDS` keys, every one of `ROWS` minima; the texts that share a key are a shard.
 Each shard has BK-trees over SimHash fingerprints of the shingle sets, and what a search finds within
 `RADIUS` is a candidate. A candidate becomes a link only if the exact similarity of the two sets reaches
-the threshold. Shingles are told apart by 64 bits. Only texts that share a key with another one travel
+the threshold. A tree holds leaders alone: a text that is near a leader follows it, and by the triangle inequality (one less
+the similarity is a distance) what is near the leader need not be compared with its followers, and what is far from it
+cannot be near them. So a large group of copies costs a comparison a text and loses no link. Shingles are told apart by 64 bits. Only texts that share a key with another one travel
 with their shingles. A shard above `CAPACITY` is cut into trees that the whole shard searches. From each
 tree only the links that join two of its parts are kept, so a group gives as many links as texts.
 At a similarity of 0.8 a pair shares a key with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.9998; its
@@ -79,6 +81,61 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / union if union else 1.0
 
 
+class Leaders:
+    """One tree of a shard: leaders by fingerprint, their followers, and the parts that links have joined."""
+
+    def __init__(self, radius: int, least: float) -> None:
+        self.radius, self.least, self.reach = radius, least, radius
+        self.tree, self.parts = BKTree(), _Parts()
+        self.at: dict[int, list[dict]] = {}
+
+    def _joined(self, key: bytes, other: bytes, found: list[bytes]) -> None:
+        if self.parts.join(key, other):
+            found.append(other)
+
+    def meet(self, key: bytes, x: int, held: np.ndarray, stay: bool) -> list[bytes]:
+        """Keys of this tree that links to `key` newly join with it; if `stay`, it is found by later ones."""
+        found: list[bytes] = []
+        home = None
+        for y in self.tree.within(x, self.reach):
+            bits = (x ^ y).bit_count()
+            for leader in self.at[y]:
+                if bits > self.radius + leader["bits"] or self.parts.find(key) == self.parts.find(leader["key"]):
+                    continue
+                theirs, slack = leader["held"], 1 - self.least + leader["far"] + 1e-9
+                small, large = sorted((len(held), len(theirs)))
+                if large and 1 - small / large > slack:
+                    continue
+                near = similarity(held, theirs)
+                if near >= self.least:
+                    self._joined(key, leader["key"], found)
+                    home = home or (leader, bits, 1 - near)
+                elif 1 - near <= slack:
+                    self._among(key, x, held, 1 - near, leader, found)
+        if stay:
+            self._add(key, x, held, home)
+        return found
+
+    def _among(self, key: bytes, x: int, held: np.ndarray, far: float, leader: dict, found: list[bytes]) -> None:
+        """Followers that can be near although their leader is not; one is enough, as they are all joined."""
+        for other, print_, theirs, off in leader["followers"]:
+            if far - off <= 1 - self.least + 1e-9 and (x ^ print_).bit_count() <= self.radius:
+                if similarity(held, theirs) >= self.least:
+                    self._joined(key, other, found)
+                    return
+
+    def _add(self, key: bytes, x: int, held: np.ndarray, home: tuple[dict, int, float] | None) -> None:
+        if home:
+            leader, bits, far = home
+            leader["followers"].append((key, x, held, far))
+            leader["bits"], leader["far"] = max(leader["bits"], bits), max(leader["far"], far)
+            self.reach = max(self.reach, self.radius + leader["bits"])
+            return
+        if x not in self.at:
+            self.tree.add(x)
+        self.at.setdefault(x, []).append({"key": key, "held": held, "followers": [], "bits": 0, "far": 0.0})
+
+
 def sketches(texts: DataFrame) -> DataFrame:
     """`key, fp, bands` of `texts(key, text)`."""
 
@@ -129,18 +186,11 @@ def links(texts: DataFrame, radius: int = RADIUS, capacity: int = CAPACITY, leas
             columns = (batch[c].tolist() for c in ("band", "value", "tree", "guest", "key", "fp", "held"))
             for band, value, number, is_guest, key, signed, held in zip(*columns, strict=True):
                 if shard != (band, value, number):
-                    shard, tree, parts, members = (band, value, number), BKTree(), _Parts(), {}
+                    shard, leaders = (band, value, number), Leaders(radius, least)
                 x, mine, key = signed & 0xFFFFFFFFFFFFFFFF, np.frombuffer(held, np.uint64), bytes(key)
-                for y in tree.within(x, radius):
-                    for other, theirs in members[y]:
-                        if parts.find(key) != parts.find(other) and similarity(mine, theirs) >= least:
-                            parts.join(key, other)
-                            a.append(key)
-                            b.append(other)
-                if not is_guest:
-                    if x not in members:
-                        tree.add(x)
-                    members.setdefault(x, []).append((key, mine))
+                others = leaders.meet(key, x, mine, stay=not is_guest)
+                a += [key] * len(others)
+                b += others
             if a:
                 yield pd.DataFrame({"a": a, "b": b})
 

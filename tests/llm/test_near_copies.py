@@ -6,6 +6,7 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 from test_duplicates import union_find
 
 from millrace.llm import near_copies
@@ -64,6 +65,45 @@ def test_one_large_group_gives_few_links(spark):
     assert 299 <= found.count() <= 299 * near_copies.BANDS
 
 
+def test_leaders_lose_no_link():
+    """Sets that drift away from each other, so that many are near a follower and not near its leader."""
+    rng = random.Random(3)
+    for _ in range(40):
+        sets = []
+        for _ in range(60):
+            own = set(rng.choice(sets)) if sets and rng.random() < 0.9 else set(rng.sample(range(10_000), 50))
+            for _ in range(rng.choice([0, 1, 2, 3, 6])):
+                own.discard(rng.choice(sorted(own)))
+                own.add(rng.randrange(10_000))
+            sets.append(own)
+        near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+        pairs = [(i, j) for i in range(60) for j in range(i) if near(sets[i], sets[j])]
+        for guests in (0, 20):
+            tree = near_copies.Leaders(64, near_copies.SIMILARITY)
+            held = [np.array(sorted(s), np.uint64) for s in sets]
+            met = [(i, int(k)) for i, h in enumerate(held) for k in tree.meet(str(i).encode(), near_copies.fingerprint(h), h, i < 60 - guests)]
+            assert all(near(sets[i], sets[j]) for i, j in met)
+            seen = [(i, j) for i, j in pairs if j < 60 - guests]
+            assert union_find(range(60), met) == union_find(range(60), seen)
+        assert len(tree.tree.values) < 60
+
+
+def test_a_large_group_costs_one_comparison_a_text(monkeypatch):
+    calls, plain = [0], near_copies.similarity
+
+    def counted(a, b):
+        calls[0] += 1
+        return plain(a, b)
+
+    monkeypatch.setattr(near_copies, "similarity", counted)
+    rng, base = np.random.default_rng(1), np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    tree = near_copies.Leaders(near_copies.RADIUS, near_copies.SIMILARITY)
+    for i in range(2000):
+        held = np.unique(np.concatenate([np.delete(base, rng.integers(0, 1000, 40)), np.array([i], np.uint64)]))
+        tree.meet(str(i).encode(), near_copies.fingerprint(held), held, True)
+    assert calls[0] < 2 * 2000 and len(tree.tree.values) < 10
+
+
 def test_edges(spark, edge_docs, no_docs):
     kept = near_copies.keep_one(edge_docs)
     assert kept.columns == edge_docs.columns
