@@ -46,7 +46,7 @@ EDGE = ".,;:?\"'()[]{}<>*#%&~`-_=/\\^«»“”„’…¿¡"
 #: exclamation mark, or a sign three times and more, that ends a word as no letter.
 ONE_OF_TWO, NO_LETTER, MARK = 7.0, 3.0, 0.3
 RUN = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:\s+(?:[^\W_]|[@$!|+])){2,}(?=[.,;:!?)]*(?:\s|$))")
-DOUBLE = re.compile(r"(.)\1")
+DOUBLE = re.compile(r"(.)\1+")
 
 
 def _codes() -> np.ndarray:
@@ -113,7 +113,7 @@ class CharacterModel:
                     (a, b, c), s, at = state, score - cost, path
                     for y in symbols:
                         if y or c:
-                            s += float(log[a, b, c, y])
+                            s += log.item(a, b, c, y)
                             a, b, c, at = b, c, y, (at, y)
                     if (a, b, c) not in ahead or ahead[a, b, c][0] < s:
                         ahead[a, b, c] = (s, at)
@@ -139,7 +139,7 @@ def lattice(text: str, codes: np.ndarray) -> list[list[tuple[tuple[int, ...], fl
             options.append(((0,), cost))
             if not c.isdigit() and not ends:
                 options.append(((), cost))
-        elif (y := int(encode(c, codes)[0]) if len(c.lower()) == 1 else 0) > 0:
+        elif (y := int(codes[ord(c)]) if ord(c) < 256 else 0) > 0:
             options = [((y,), (0.0, ONE_OF_TWO, 0.3)[min(n, 3) - 1])] + ([((y, y), 0.0)] if n > 1 else [])
         else:
             options = [((), 0.7), ((0,), 1.0)]
@@ -152,6 +152,7 @@ class Restorer:
 
     def __init__(self, model: CharacterModel) -> None:
         self.model, self.codes = model, _codes()
+        self.known = {chr(i) for i in np.flatnonzero(self.codes)}
 
     def read(self, disguised: str) -> tuple[str, ...]:
         symbols = self.model.decode(lattice(disguised, self.codes))
@@ -162,16 +163,30 @@ class Restorer:
         core = raw.strip(EDGE)
         if not core:
             return ()
+        if core.isalpha():
+            runs = [m.span() for m in DOUBLE.finditer(core)]
+            if not runs:
+                return (core,)
         letters = [c for c in core if c.isalpha()]
-        if len(letters) == len(core) and not DOUBLE.search(core):
-            return (core,)
         if not letters and not any(c in LEET for c in core):
             return ()
-        if any(len(c.lower()) > 1 or not encode(c, self.codes)[0] for c in letters):
+        if not all(c in self.known for c in letters):
             return tuple(re.findall(r"[^\W\d_]+", core))
+        if len(letters) == len(core) and len(runs) == 1 and runs[0][1] - runs[0][0] == 2 and self._pair_stays(core, runs[0][0]):
+            return (core,)
         found = self.read(core)
         return (core,) if len(letters) == len(core) == sum(map(len, found)) else found
 
+    def _pair_stays(self, core: str, at: int) -> bool:
+        """What the lattice of a word with one pair of equal letters, at `at`, decides: both of its readings
+        are alike but for the symbols whose context has the second letter."""
+        log, both = self.model.log, [0, 0, 0, *encode(core, self.codes).tolist(), 0]
+        p = at + 4
+        one = both[:p] + both[p + 1 :]
+        with_both = sum(log.item(*both[i - 3 : i + 1]) for i in range(p, min(p + 4, len(both))))
+        with_one = sum(log.item(*one[i - 3 : i + 1]) for i in range(p, min(p + 3, len(one))))
+        return with_both > with_one - ONE_OF_TWO
+
     def spaced(self, text: str) -> list[str]:
         """Words restored from three and more single characters with blanks between."""
         found: list[str] = []

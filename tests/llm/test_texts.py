@@ -75,6 +75,19 @@ def test_restored_words(model):
     assert read.word("你好1") == ("你好",)
 
 
+def test_words_with_one_pair_are_read_as_by_the_lattice(model):
+    read, rng = toxicity.Restorer(model), np.random.default_rng(4)
+    letters, both = "etaoinshr", set()
+    for _ in range(1000):
+        word = "".join(rng.choice(list(letters), rng.integers(2, 9)))
+        at = int(rng.integers(0, len(word)))
+        word = word[:at] + word[at] + word[at:]
+        (found,) = read.read(word)
+        assert read.word(word) == (found,)
+        both.add(found == word)
+    assert both == {True, False}
+
+
 def test_the_model_weighs_edge_signs(spark):
     text = "what an ass he is a dumbass and an asshole who talks shit " * 50 + "the cat sat on a mat " * 20
     grams = toxicity.character_counts(spark.createDataFrame([(text,)], "text string")).toPandas()
