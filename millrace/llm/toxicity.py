@@ -47,6 +47,8 @@ EDGE = ".,;:?\"'()[]{}<>*#%&~`-_=/\\^«»“”„’…¿¡"
 ONE_OF_TWO, NO_LETTER, MARK = 7.0, 3.0, 0.3
 RUN = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:\s+(?:[^\W_]|[@$!|+])){2,}(?=[.,;:!?)]*(?:\s|$))")
 DOUBLE = re.compile(r"(.)\1+")
+#: A word of letters, with signs at its end alone.
+LETTERS_FIRST = re.compile(r"([^\W\d_]+)[@$!|+]*")
 
 
 def _codes() -> np.ndarray:
@@ -225,24 +227,59 @@ class Lexicon:
         return 1 / (1 + math.exp(-z))
 
 
-def held_entries(text: str | None, restorer: Restorer, cache: dict, wanted=None) -> set[str]:
-    """All entries of a text, or those in `wanted`; cached per raw word."""
-    found: Counter = Counter()
-    if not text:
-        return set()
-    low = text.lower()
-    for raw in set(low.split()):
-        got = cache.get(raw)
-        if got is None:
-            got = {e for w in restorer.word(raw) for e in entries(w)}
-            cache[raw] = got = tuple(got if wanted is None else (e for e in got if e in wanted))
-        if got:
+class Holder:
+    """Entries that texts hold: all, or those in `wanted`. Raw words are remembered."""
+
+    def __init__(self, restorer: Restorer, wanted: set[str] | None = None) -> None:
+        self.restorer, self.wanted = restorer, wanted
+        self.held: dict[str, tuple[str, ...]] = {}
+        self.idle: set[str] = set()
+        self.plain = {i: chr(96 + int(y)) for i, y in enumerate(restorer.codes) if y}
+        self.fours = {e[:4] for e in wanted or () if e[-1] == "-"}
+        self.starts = {self._start(e.rstrip("-")) for e in wanted or ()}
+
+    def _start(self, letters: str) -> str:
+        """Up to five first letters, without accents and equal ones in a row."""
+        return DOUBLE.sub(r"\1", letters.translate(self.plain))[:5]
+
+    def _may_hold(self, raw: str) -> bool:
+        """False only for words of letters, or of letters with signs behind, of which no reading holds a wanted
+        entry. Readings of such a word differ in doubled letters and at the end, so they start alike."""
+        core = raw.strip(EDGE)
+        if core.isalpha() and not DOUBLE.search(core):
+            return core in self.wanted or core[:4] in self.fours
+        found = LETTERS_FIRST.fullmatch(core)
+        if not found:
+            return True
+        start = self._start(found[1])
+        return len(start) < 5 or any(start[:k] in self.starts for k in (5, 4, 3, 2, 1))
+
+    def _word(self, raw: str) -> tuple[str, ...]:
+        if self.wanted is not None and not self._may_hold(raw):
+            return ()
+        got = {e for w in self.restorer.word(raw) for e in entries(w)}
+        return tuple(got if self.wanted is None else got & self.wanted)
+
+    def entries(self, text: str | None) -> set[str]:
+        found: Counter = Counter()
+        if not text:
+            return set()
+        low = text.lower()
+        for raw in set(low.split()) - self.idle:
+            got = self.held.get(raw)
+            if got is None:
+                got = self._word(raw)
+                if not got:
+                    self.idle.add(raw)
+                    continue
+                self.held[raw] = got
             found.update(got)
-    for w in set(restorer.spaced(low)):
-        found.update(e for e in entries(w) if wanted is None or e in wanted)
-    if len(cache) > CACHED:
-        cache.clear()
-    return counted(found)
+        for w in set(self.restorer.spaced(low)):
+            found.update(e for e in entries(w) if self.wanted is None or e in self.wanted)
+        if len(self.held) + len(self.idle) > CACHED:
+            self.held.clear()
+            self.idle.clear()
+        return counted(found)
 
 
 def choose(rows: list[set[str]], precision: dict[str, float], cover: int = COVER) -> list[str]:
@@ -300,9 +337,9 @@ def distinct_rows(sample: DataFrame, model: CharacterModel) -> DataFrame:
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        restorer, cache = Restorer(model), {}
+        holder = Holder(Restorer(model))
         for batch in batches:
-            held = [sorted(held_entries(t, restorer, cache)) for t in batch["text"]]
+            held = [sorted(holder.entries(t)) for t in batch["text"]]
             sketch = [xxhash.xxh3_128_hexdigest("\n".join(h).encode("utf-8", "surrogatepass")) for h in held]
             yield pd.DataFrame({"toxic": batch["toxic"], "sketch": sketch, "held": held})
 
@@ -358,11 +395,11 @@ def scored(docs: DataFrame, model: CharacterModel, lexicon: Lexicon, text_column
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        restorer, cache = restorer_of(), {}
+        holder = Holder(restorer_of(), wanted)
         for texts in batches:
             found = []
             for text in texts:
-                held = held_entries(text, restorer, cache, wanted)
+                held = holder.entries(text)
                 found.append(lexicon.score(sum(lexicon.weights.get(e, 0.0) for e in held)))
             yield pd.Series(found, dtype=float)
 
