@@ -130,24 +130,43 @@ def overlap_counts(
     return both.withColumn(name, found).drop("_begun", "_ended")
 
 
-def _binned(frame: DataFrame, on: Sequence[str], span: tuple[str, str], width: int, mark: str) -> DataFrame:
-    """Rows of `frame` once for every bin at its own level and at all coarser ones.
+def _size(level: Column, width: int) -> Column:
+    """The width of a level's bins."""
+    return F.element_at(F.array(*[F.lit(width * FACTOR**n).cast("long") for n in range(LEVELS)]), level + 1)
 
-    `_native` tells the level that fits its length, `_first` the first bin there.
-    """
+
+def _spans(frame: DataFrame, span: tuple[str, str], mark: str) -> tuple[Column, Column]:
+    """Start and end of an interval, of the columns that `_levelled` gives."""
+    start, end = (F.col(f"{mark}{frame.columns.index(c)}").cast("long") for c in span)
+    return start, end
+
+
+def _levelled(frame: DataFrame, on: Sequence[str], span: tuple[str, str], width: int, mark: str) -> DataFrame:
+    """The sound rows of `frame`, its columns as `<mark>0, <mark>1, …`, so that those nobody asks for are not
+    shuffled; `<mark>_own` tells the level that fits a row's length."""
     start, end = (F.col(f"`{c}`").cast("long") for c in span)
-    rows = frame.where(_known(frame, [*on, *span]) & (start < end))
-    widths = [width * FACTOR**n for n in range(LEVELS)]
-    level = sum((F.when(end - start > w, 1).otherwise(0) for w in widths[:-1]), F.lit(0))
-    shown = rows.select(
-        *_keys(on), start.alias("_start"), end.alias("_end"), level.alias("_own"),
-        F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias(mark),
-    )
-    shown = shown.withColumn("_level", F.explode(F.sequence("_own", F.lit(LEVELS - 1))))
-    size = F.element_at(F.array(*[F.lit(w).cast("long") for w in widths]), F.col("_level") + 1)
-    shown = shown.withColumn("_first", F.floor(F.col("_start") / size))
-    bins = F.sequence("_first", F.floor((F.col("_end") - 1) / size))
-    return shown.select("*", (F.col("_own") == F.col("_level")).alias("_native"), F.explode(bins).alias("_bin"))
+    level = sum((F.when(end - start > width * FACTOR**n, 1).otherwise(0) for n in range(LEVELS - 1)), F.lit(0))
+    return frame.where(_known(frame, [*on, *span]) & (start < end)).select(
+        *[F.col(f"`{c}`").alias(f"{mark}{n}") for n, c in enumerate(frame.columns)], level.alias(f"{mark}_own")
+    )
+
+
+def _binned(rows: DataFrame, start: Column, end: Column, width: int, mark: str) -> DataFrame:
+    """Rows with a `<mark>_level` once for every bin that they touch there."""
+    size = _size(F.col(f"{mark}_level"), width)
+    bins = F.sequence(F.floor(start / size), F.floor((end - 1) / size))
+    return rows.withColumn(f"{mark}_bin", F.explode(bins)).drop(f"{mark}_own")
+
+
+def _lifted(rows: DataFrame, mark: str, met: DataFrame, other: str, least: int) -> DataFrame:
+    """Rows once for every level of their own (`least` 0) or above it (1) that fits some row of the other side.
+
+    Those levels are few rows, found before anything is shuffled: a level that fits nothing takes no copies.
+    """
+    used = F.broadcast(met.select(F.col(f"{other}_own").alias("_used")).distinct())
+    levels = F.explode(F.expr(f"filter(sequence(0, {LEVELS - 1}), n -> n >= {mark}_own + {least})"))
+    lifted = rows.withColumn(f"{mark}_level", levels)
+    return lifted.join(used, F.col(f"{mark}_level") == F.col("_used"), "left_semi")
 
 
 def overlap_join(
@@ -159,20 +178,28 @@ def overlap_join(
     Intervals hold their start and not their end; empty and backward ones and such with a null key or end
     overlap nothing. `width` is that of the finest bins, in the unit of the times; each level is eight times
     coarser. A pair meets at the level of its longer interval and counts in the first bin that both have there.
+    What is shuffled of a row is what is asked of the pairs, its keys and its ends.
     """
     if width < 1:
         raise ValueError("width must be at least 1")
-    keys = [f"_k{n}" for n in range(len(on))]
-    bins = [*keys, "_level", "_bin"]
-    a = _binned(left, on, left_span, width, "l")
-    b = _binned(right, on, right_span, width, "r")
-    other = b.select(
-        *bins, F.col("_start").alias("_from"), F.col("_end").alias("_to"), F.col("_first").alias("_began"),
-        F.col("_native").alias("_fits"), "r",
-    )
-    meets = (F.col("_start") < F.col("_to")) & (F.col("_from") < F.col("_end"))
-    first = F.col("_bin") == F.greatest("_first", "_began")
+    a, b = _levelled(left, on, left_span, width, "_l"), _levelled(right, on, right_span, width, "_r")
+    (start, end), (begun, closed) = _spans(left, left_span, "_l"), _spans(right, right_span, "_r")
+    first = F.col("_l_bin") == F.floor(F.greatest(start, begun) / _size(F.col("_l_level"), width))
+    same = (F.col("_l_level") == F.col("_r_level")) & (F.col("_l_bin") == F.col("_r_bin"))
+    for c in on:
+        same = same & (F.col(f"_l{left.columns.index(c)}") == F.col(f"_r{right.columns.index(c)}"))
+    meets = same & (start < closed) & (begun < end) & first
+    pair = [
+        F.struct(*[F.col(f"{mark}{n}").alias(c) for n, c in enumerate(frame.columns)]).alias(name)
+        for frame, mark, name in ((left, "_l", "l"), (right, "_r", "r"))
+    ]
+
+    def met(some: DataFrame, others: DataFrame) -> DataFrame:
+        # Never broadcast: Spark judges the rows by their number before they are laid into bins.
+        found = _binned(others, begun, closed, width, "_r").hint("merge")
+        return _binned(some, start, end, width, "_l").join(found, meets).select(*pair)
+
     # Two joins, so that intervals that are both finer than a level never meet there.
-    fitting = a.where("_native").join(other, bins).where(meets & first)
-    finer = a.where("not _native").join(other.where("_fits"), bins).where(meets & first)
-    return fitting.select("l", "r").unionByName(finer.select("l", "r"))
+    fitting = met(a.withColumn("_l_level", F.col("_l_own")), _lifted(b, "_r", a, "_l", 0))
+    finer = met(_lifted(a, "_l", b, "_r", 1), b.withColumn("_r_level", F.col("_r_own")))
+    return fitting.unionByName(finer)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from compare import rows
 from millrace.operators import time_joins
+from millrace.session import scratch
 
 LEFT = "id long, k string, t long, u long, note string"
 RIGHT = "k string, s long, e long, seq long, state string"
@@ -104,3 +105,23 @@ def test_plans_compare_no_other_keys(spark):
     for frame in frames:
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_overlap_shuffles_what_is_asked_at_the_levels_that_are_used(spark):
+    left, right, a, b = tables(spark, 3)
+    places = scratch(spark, "spans"), scratch(spark, "spans")
+    a.write.parquet(places[0])
+    b.write.parquet(places[1])
+    a, b = (spark.read.parquet(p) for p in places)
+    pairs = time_joins.overlap_join(a, b, ["k"], ("t", "u"), ("s", "e"), 4).select("l.id", "r.seq")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "note" not in plan and "state" not in plan
+    assert plan.count("SortMergeJoin") == 2  # however small its tables are, the rows in bins are not broadcast
+    assert rows(pairs) == sorted([(x[0], r[3]) for x in left for r in right if meet(x, r)], key=repr)
+    # Lengths of 3 and 900 fit levels 0 and 3 of 4: each row stands there at most, not at all eight.
+    c = a.where("u - t in (3, 900)")
+    d = time_joins._levelled(c, ["k"], ("t", "u"), 4, "_l")
+    assert {r[0] for r in d.select("_l_own").distinct().collect()} == {0, 3}
+    e = time_joins._levelled(c, ["k"], ("t", "u"), 4, "_r")
+    found = time_joins._lifted(d, "_l", e, "_r", 0)
+    assert found.count() == 2 * d.where("_l_own = 0").count() + d.where("_l_own = 3").count()
