@@ -194,15 +194,17 @@ def e5_distinct_results(spark: SparkSession, folder: str) -> DataFrame:
         (day >= "2024-01-20") | (day == "2024-01-19"),  # that day's messages once more
         late | (day >= "2024-01-30"),
     ]
-    for n, some in enumerate(arrivals):
-        s.bodies(sent.filter(some)).coalesce(1).write.text(f"{place}/{n}")
     stored, once = scratch(spark, "again_stored"), scratch(spark, "again_once")
-    results.consume_results(
-        messages.message_stream(spark, place, files_per_batch=1), stored, scratch(spark, "again_checkpoint")
-    ).awaitTermination()
-    distinct.store_distinct(
-        messages.message_stream(spark, place, files_per_batch=1), once, scratch(spark, "once_checkpoint")
-    ).awaitTermination()
+    checks = scratch(spark, "again_checkpoint"), scratch(spark, "once_checkpoint")
+    # Each arrival is one micro-batch of as many files as its writers make; the streams go on from their checkpoints.
+    for n, some in enumerate(arrivals):
+        s.bodies(sent.filter(some)).write.text(f"{place}/{n}")
+        running = [
+            results.consume_results(messages.message_stream(spark, place), stored, checks[0]),
+            distinct.store_distinct(messages.message_stream(spark, place), once, checks[1]),
+        ]
+        for stream in running:
+            stream.awaitTermination()
     found = distinct.all_results(spark.read.parquet(stored), spark.read.parquet(once))
     return found.select("correlation_id", "status", "late")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from millrace.operators import registry
 from millrace.session import scratch
 from millrace.sources import messages
 from millrace.streaming import distinct, results, state
+from millrace.suite import messages as suite
 
 START = datetime(2024, 5, 1, tzinfo=timezone.utc)
 
@@ -58,6 +60,26 @@ def test_results_are_taken_in_once(spark):
     assert both.count() == 10 and both.filter("late").count() == 3
 
 
+def test_each_arrival_is_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    """Four files of events make four files of each arrival's messages, and still one micro-batch each."""
+    source, places = "/root/testdata/sf0.001/events.parquet", {}
+    spark.read.parquet(source).repartition(4, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(suite, "scratch", lambda spark, label: places.setdefault(label, f"{tmp_path}/{label}"))
+    for size in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.set(f"spark.sql.files.{size}", "4k")
+    try:
+        found = suite.e5_distinct_results(spark, str(tmp_path))
+    finally:
+        for size in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{size}")
+    assert [len(list(Path(places["again_queue"], str(n)).glob("part-*"))) for n in range(2)] == [4, 4]
+    assert len(list(Path(places["again_stored"]).glob("stream=*/batch_id=*"))) == 3
+    events = [r for r in spark.read.parquet(source).collect() if r.event_id % 97]
+    late = {f"c-{r.event_id}" for r in events if r.event_id % 7 == 0 and r.ts < datetime(2024, 1, 6)}
+    assert rows(found.select("correlation_id")) == sorted((f"c-{r.event_id}",) for r in events)
+    assert {r.correlation_id for r in found.filter("late").collect()} == late
+
+
 def patches(seed, count):
     rng = random.Random(seed)
     out = []
