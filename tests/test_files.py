@@ -163,3 +163,13 @@ def test_manifest_lineage(spark, tmp_path, results, wanted):
         read_documents(spark, str(tmp_path), "manifest.json"), read_documents(spark, str(tmp_path), "run_results.json")
     )
     assert rows(found) == [("proj", *w) for w in wanted]
+
+
+def test_manifests_stay_in_all_partitions(spark):
+    """Small documents grow to many rows, so they are not put into few tasks, nor laid in order as they are."""
+    manifests = spark.createDataFrame([(f"p{i}", json.dumps({"nodes": NODES})) for i in range(40)], "project string, document string")
+    runs = spark.createDataFrame([("p1", json.dumps({"results": [{"unique_id": "model.stg", "status": "success"}]}))], manifests.schema)
+    found = manifest_lineage(manifests, runs)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == sorted([(f"p{i}", *w) for i in range(40) if i != 1 for w in EVERYTHING] + [("p1", "input", RAW, "seed.raw"), ("p1", "output", STG, "model.stg")])
