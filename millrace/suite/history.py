@@ -255,12 +255,18 @@ def r3_renewed_log(spark: SparkSession, folder: str) -> DataFrame:
     return _job_view(registry.current_jobs(registry.read_log(spark, place, JOB)))
 
 
+#: Patches in a file of the stream at most.
+BATCH_ROWS = 2_000_000
+
+
 @query("r3_streamed_state", _state_sql())
 def r3_streamed_state(spark: SparkSession, folder: str) -> DataFrame:
-    """The patches as a stream in three batches, their states kept batch by batch; no fold of the log."""
+    """The patches as a stream in three batches or more, their states kept batch by batch; no fold of the log."""
     place, name = scratch(spark, "patch_stream"), fresh_database(spark, "state")
     log = s.job_log(spark, folder)
-    log.repartition(3, "seq").write.parquet(place)
+    # A batch is one file of bounded length, in row groups that many tasks read, however long the log is.
+    pieces = {"maxRecordsPerFile": BATCH_ROWS, "parquet.block.size": 4 << 20}
+    log.repartition(3, "seq").write.options(**pieces).parquet(place)
     fields, entries = f"{name}.job_fields", f"{name}.job_entries"
     patches = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(place)
     running = [

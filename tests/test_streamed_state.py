@@ -16,6 +16,7 @@ from millrace.operators import registry
 from millrace.session import scratch
 from millrace.sources import messages
 from millrace.streaming import distinct, results, state
+from millrace.suite import history
 from millrace.suite import messages as suite
 
 START = datetime(2024, 5, 1, tzinfo=timezone.utc)
@@ -146,3 +147,14 @@ def test_a_batch_reads_its_own_rows(spark, database):
     query.awaitTermination()
     progress = [p for p in query.recentProgress if p["numInputRows"]]
     assert [p["numInputRows"] for p in progress] == [40]
+
+
+def test_batches_of_the_stream_are_bounded(spark, database, monkeypatch):
+    """A longer log makes more batches, not larger ones."""
+    monkeypatch.setattr(history, "BATCH_ROWS", 100, raising=False)
+    monkeypatch.setattr(history, "fresh_database", lambda spark, label: database)
+    folder = "/root/testdata/sf0.001"
+    found = rows(history.r3_streamed_state(spark, folder))
+    assert found == rows(history.r3_update_job(spark, folder)) and found
+    batches = spark.table(f"{database}.job_fields").groupBy("batch").count().collect()
+    assert len(batches) > 3 and all(r["count"] <= 100 for r in batches)
